@@ -4,7 +4,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import decontam, fingerprint, simhash, warc
+from . import decontam, fingerprint, mix, shard, simhash, warc
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard.shards(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit(""))).cast("long")
+    return placed.select("doc_id", shard.record_bytes(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,4 +36,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op7_document_fingerprints, op9_warc, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_source_mixing, op5_benchmark_decontamination, op7_document_fingerprints, op9_warc, op10_simhash_near_dedup)}
