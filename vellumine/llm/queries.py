@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import decontam, fingerprint, mix, shard, simhash, warc
+from . import decontam, fingerprint, html_main, mix, quality, shard, simhash, warc
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +17,20 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -36,4 +44,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_source_mixing, op5_benchmark_decontamination, op7_document_fingerprints, op9_warc, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_source_mixing, op4_quality_classifier, op5_benchmark_decontamination, op6_html_extraction, op7_document_fingerprints, op9_warc, op10_simhash_near_dedup)}
