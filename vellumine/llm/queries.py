@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import decontam, fingerprint, html_main, mix, quality, shard, simhash, warc
+from . import decontam, fingerprint, html_main, mix, quality, quotes, shard, simhash, warc
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no quotes, so its turns are first written as mails that quote the two turns before them."""
+    mails = quotes.as_mail(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return quotes.conversations(mails)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,4 +50,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_source_mixing, op4_quality_classifier, op5_benchmark_decontamination, op6_html_extraction, op7_document_fingerprints, op9_warc, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_source_mixing, op4_quality_classifier, op5_benchmark_decontamination, op6_html_extraction, op7_document_fingerprints, op8_chat_formatting, op9_warc, op10_simhash_near_dedup)}
