@@ -32,15 +32,17 @@ def shuffled(records: DataFrame, text_col: str = "text", keys: tuple[str, ...] =
     bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n))
     loads = records.groupBy(bucket.alias("_bucket")).agg(F.sum(size).alias("load"))
     hot = written(loads.filter(F.col("load") > 4 * max(bucket_bytes, total // n)).select("_bucket", F.ceil(F.col("load") / bucket_bytes).cast("long").alias("_parts")), "hot")
-    dealt = records.withColumns({"_bucket": bucket, "_part": F.lit(0).cast("long")})
+    dealt, by = records.withColumn("_bucket", bucket), ["_bucket"]
     if not hot.isEmpty():
-        numbered = dealt.drop("_part").withColumn("_n", F.monotonically_increasing_id()).join(hot, "_bucket", "left")
+        numbered, by = dealt.withColumn("_n", F.monotonically_increasing_id()).join(hot, "_bucket", "left"), ["_bucket", "_part"]
         dealt = numbered.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_n"), "_parts"), F.lit(0)).cast("long")).drop("_n", "_parts")
     tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 8 else 1, -(-n // BUCKETS_A_TASK))
     order = F.xxhash64(F.lit(seed + 1), *keys)
-    scattered = dealt.withColumn("_key", order).repartition(tasks, "_bucket", "_part").sortWithinPartitions("_bucket", "_part", "_key")
-    whole = scattered.groupBy("_bucket", "_part").agg(F.collect_list(F.struct(*records.columns)).alias("_records"))
+    scattered = dealt.withColumn("_key", order).repartition(tasks, *by).sortWithinPartitions(*by, "_key")
+    whole = scattered.groupBy(*by).agg(F.collect_list(F.struct(*records.columns)).alias("_records"))  # in the same stage
     mixed = whole.withColumn("_records", F.shuffle("_records", F.lit(seed)))
+    if len(by) == 1:
+        mixed = mixed.withColumn("_part", F.lit(0).cast("long"))
     return written(mixed.select("_bucket", "_part", F.posexplode("_records").alias("_slot", "_r")).select("_bucket", "_part", "_slot", "_r.*"), "shuffled")
 
 
