@@ -28,6 +28,7 @@ LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
 READ = 1 << 18
+MOST_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
@@ -211,7 +212,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    n = max(1, min(manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 0, MOST_TASKS))
+    return ranges.repartition(n, "path", "start").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
