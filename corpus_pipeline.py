@@ -1,8 +1,55 @@
-"""Corpus pipeline; see README."""
+"""Corpus pipeline: documents become a clean, mixed and shuffled training set.
 
+Every stage is a function of (spark, docs, sf_dir) that works on all its predecessor kept. ``run`` writes each stage's
+result as Parquet in the shared folder and reads it again as the next one's documents.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vellumine.llm import decontam, mix, quality, shard, simhash
+from vellumine.scratch import written
+from vellumine.tables import table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels, does not reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mix.mixture(docs)
+
+
+def shard_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their shard and slot."""
+    return shard.shards(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix_sources),
+    ("sharding", shard_out),
+]
+
+#: SQL can express neither the boosted trees nor the fingerprints.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
