@@ -12,6 +12,7 @@ Other columns are ignored, whatever their names.
 
 import hashlib
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ..scratch import written
 from .words import filled, slices
 
+MAP_BITS = 27  # bits of the map of shared fingerprints: 16 MB at most
+
 
 def canonical(text: str) -> bytes:
     folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
@@ -92,23 +95,42 @@ def _edges(edges: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
     return put.mapInArrow(run, f"doc_id long, h long, {COLUMNS}")
 
 
+def _shared_bits(found: DataFrame) -> tuple[int, dict[int, bytes]]:
+    """A bitmap of hashed fingerprints that several rows have: about 64 bits each, 2^MAP_BITS at most."""
+    shared = written(found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint"), "shared")
+    mask = (1 << min(MAP_BITS, max(15, (64 * shared.count()).bit_length()))) - 1
+    bit = shared.select(F.crc32("fingerprint").bitwiseAND(F.lit(mask)).alias("bit")).distinct()
+    dealt = bit.select(F.shiftright("bit", 15).alias("k"), F.col("bit").bitwiseAND(F.lit(32767)).alias("at")).repartition("k")  # so that a piece of the map is made once
+    return mask, {r.k: bytes(r.bits) for r in dealt.groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()}
+
+
 def _told_apart(keyed: DataFrame, found: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
-    """Compares the canonical bytes of every bucket of two rows or more and marks those of different bytes."""
-    shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    members = found.join(shared, "fingerprint", "left_semi").select(F.col("doc_id").alias("i"), F.col("h").alias("j")).distinct()
+    """Compares the canonical bytes of every bucket of two rows or more and marks those of different bytes.
+
+    Only texts whose fingerprint may be shared are shuffled, packed without loss: packed bytes are equal if and only
+    if the canonical bytes are.
+    """
+    shared = found.sparkSession.sparkContext.broadcast(_shared_bits(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, maps = shared.value
         for b in slices(batches, "text"):
-            whole = [canonical(t) for t in filled(b, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([digest(w) for w in whole], pa.string()), pa.array(whole, pa.binary())], ["doc_id", "h", "fingerprint", "canonical"])
+            rows = []
+            for doc_id, h, text in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), filled(b, "text").to_pylist(), strict=True):
+                whole = canonical(text)
+                mark = digest(whole)
+                bit = zlib.crc32(mark.encode()) & mask
+                if (own := maps.get(bit >> 15)) and own[(bit & 32767) >> 3] >> (bit & 7) & 1:
+                    rows.append((doc_id, h, mark, zlib.compress(whole, 1), hashlib.sha256(whole).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=True)], ["doc_id", "h", "fingerprint", "packed", "s"])
 
-    same = [F.col("doc_id").eqNullSafe(F.col("i")), F.col("h") == F.col("j")]
-    texts = keyed.join(members, same, "left_semi").mapInArrow(run, "doc_id long, h long, fingerprint string, canonical binary")
-    mixed = written(texts.groupBy("fingerprint").agg(F.min("canonical").alias("a"), F.max("canonical").alias("b")).filter("a <> b").select("fingerprint"), "mixed")
+    texts = keyed.mapInArrow(run, "doc_id long, h long, fingerprint string, packed binary, s string")
+    mixed = written(texts.groupBy("fingerprint").agg(F.min("packed").alias("a"), F.max("packed").alias("b")).filter("a <> b").select("fingerprint"), "mixed")
     if mixed.isEmpty():
         return found.drop("h")
-    suffix = texts.join(mixed, "fingerprint").select(F.col("doc_id").alias("i"), F.col("h").alias("j"), F.sha2("canonical", 256).alias("s")).distinct()
-    return found.join(suffix, same, "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", "s")).drop("h", "i", "j", "s")
+    suffix = texts.join(mixed, "fingerprint").select(F.col("doc_id").alias("i"), F.col("h").alias("j"), "s").distinct()
+    return found.join(suffix, [F.col("doc_id").eqNullSafe(F.col("i")), F.col("h") == F.col("j")], "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", "s")).drop("h", "i", "j", "s")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = wide) -> DataFrame:
@@ -119,4 +141,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = written(_pairs(ordered, digest), "pairs")
     whole = pairs.filter("edge is null").select("doc_id", "h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     ends = _edges(pairs.filter("edge is not null").select("doc_id", "h", "edge", "text"), digest)
-    return _told_apart(keyed, written(whole.unionByName(ends), "found"), digest)
+    return _told_apart(keyed, whole.unionByName(ends), digest)
