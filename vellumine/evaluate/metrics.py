@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.similarity import jaro_winkler_udf, token_set_udf
 from ..functions.text import metric_form
@@ -188,7 +189,7 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], *keys: str)
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile(value, p).alias(name) for name, p in points.items()])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def word_errors(read: pd.Series, truth: pd.Series) -> pd.Series:
     """Least number of words changed, added or left out."""
 

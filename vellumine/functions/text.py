@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bullet glyphs, the mark between cells of a line, e-mail addresses.
 BULLETS = "•●○◦▪▫■□–—\\-*➢➤►✓✔·"
@@ -15,13 +16,13 @@ EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 YEARS = r"(?i)(?:19|20)\d{2}\s*[-–—/]\s*(?:(?:19|20)?\d{2}|present)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark lacks."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_span(text: pd.Series) -> pd.Series:
     """NFKC without private-use glyphs (icon fonts)."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Co"))

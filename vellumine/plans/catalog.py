@@ -1,8 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-from collections.abc import Callable
+from . import evaluation, normalisation, relations, texts  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
