@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop, written
-from .words import ascii_words, byte_offsets, filled, slices
+from .words import ascii_words, byte_offsets, filled, fresh, slices
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20  # most benchmark text in one broadcast set; more is scanned in further blocks
@@ -105,8 +105,8 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, most: int) -> int:
 
 
 def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` and ``_n_words, _hits, _items``: word count, runs of hit words as [from, to, from, to ...]
-    word positions, and ids of the items that occur.
+    """All columns of ``docs`` and, last, three more (``_n_words, _hits, _items``, if these names are free): word count, runs of
+    hit words as [from, to, from, to ...] word positions, and ids of the items that occur.
 
     The benchmark's size is measured first. Up to ``block_bytes`` of text make one broadcast set. A larger benchmark
     is dealt into blocks by item, one scan each, with results so far written between scans.
@@ -114,7 +114,9 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str
     spark = docs.sparkSession
     n = _blocks(bench, item_id, item_text, block_bytes)
     items = bench.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<long>"), "_items": F.array().cast(f"array<{dict(bench.dtypes)[item_id]}>")})
+    names = fresh(docs.columns, "_n_words", "_hits", "_items")
+    empty = (F.lit(0).cast("long"), F.array().cast("array<long>"), F.array().cast(f"array<{dict(bench.dtypes)[item_id]}>"))
+    out = docs.withColumns(dict(zip(names, empty, strict=True)))
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         rows = sorted(block.collect(), key=str)
@@ -135,7 +137,7 @@ def _scanner(grams, text_col: str):
             rows, hit, pairs = g.scan(filled(b, text_col), vocab)
             n_words = np.bincount(rows, minlength=b.num_rows)
             first = np.concatenate(([0], np.cumsum(n_words)))
-            hits, items = b.column(b.schema.get_field_index("_hits")).to_pylist(), b.column(b.schema.get_field_index("_items")).to_pylist()
+            hits, items = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             for r in np.unique(rows[hit]).tolist():
                 own = hit[first[r] : first[r + 1]].copy()
                 for x in range(0, len(hits[r]), 2):
@@ -144,15 +146,15 @@ def _scanner(grams, text_col: str):
             for r, i in pairs.T.tolist():
                 if g.names[i] not in items[r]:
                     items[r].append(g.names[i])
-            new = {"_n_words": n_words, "_hits": hits, "_items": items}
-            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else b.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
+            new = [pa.array(x, f.type) for x, f in zip((n_words, hits, items), list(b.schema)[-3:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], schema=b.schema)
 
     return run
 
 
 def n_hit(hits: str = "_hits"):
     """Number of hit words, from the runs."""
-    return F.expr(f"cast(aggregate({hits}, 0L, (s, x) -> x - s) as long)")  # ... to - (from - sum): alternating signs, even length
+    return F.expr(f"cast(aggregate(`{hits}`, 0L, (s, x) -> x - s) as long)")  # ... to - (from - sum): alternating signs, even length
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
@@ -164,7 +166,8 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_hit: float = 0.0) -> DataFrame:
     """Documents of which no more than ``most_hit`` of the words are hit, with their columns."""
     found = scan(docs, bench, window)
-    return found.filter(n_hit() <= F.lit(most_hit) * F.col("_n_words")).select(docs.columns)
+    n_words, hits, _ = found.columns[-3:]
+    return found.filter(n_hit(hits) <= F.lit(most_hit) * F.col(n_words)).select(docs.columns)
 
 
 def cut_spans(text: str, hits: list[int]) -> str:
@@ -187,7 +190,7 @@ def remove_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             i = b.schema.get_field_index("text")
-            hits = b.column(b.schema.get_field_index("_hits"))
+            hits = b.column(b.num_columns - 2)
             texts = [t if not h else cut_spans(t, h) for t, h in zip(b.column(i).to_pylist(), hits.to_pylist(), strict=True)]
             yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
 

@@ -97,12 +97,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     """The mix's documents with the columns of ``docs``, a row for each time a document is taken."""
     times = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).cast("int")
     plan = written(shares(docs, weights, budget, most, seed).groupBy("doc_id", "h", "source").agg(times.alias("_times"), F.count("*").alias("_rows")).filter("_times > 0"), "plan")
-    plan = plan.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h2"), F.col("source").alias("_s"), "_times", "_rows")
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    same = keyed["doc_id"].eqNullSafe(plan["_i"]) & (keyed["_h"] == plan["_h2"]) & keyed["source"].eqNullSafe(plan["_s"])
-    out = keyed.join(plan.filter("_rows = 1"), same)
+    plan = plan.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("source").alias("s"), "_times", "_rows")
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    keyed = docs.select(F.struct(*docs.columns).alias("record"), doc_id.alias("own_i"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("own_g"), source.alias("own_s"))
+    same = F.col("own_i").eqNullSafe(F.col("i")) & (F.col("own_g") == F.col("g")) & F.col("own_s").eqNullSafe(F.col("s"))
+    out = keyed.join(plan.filter("_rows = 1"), same).select("record", "_times")
     many = plan.filter("_rows > 1")
     if not many.isEmpty():  # rows equal in doc_id, source and text: one of them is taken for all
-        rest = [F.first(c).alias(c) for c in docs.columns if c not in ("doc_id", "source")]
-        out = out.unionByName(keyed.join(many, same).groupBy("doc_id", "source", "_h", "_i", "_h2", "_s", "_times", "_rows").agg(*rest))
-    return out.withColumn("_n", F.explode(F.expr("sequence(1, _times)"))).select(docs.columns)
+        out = out.unionByName(keyed.join(many, same).groupBy("i", "g", "s", "_times").agg(F.first("record").alias("record")).select("record", "_times"))
+    return out.select("record", F.explode(F.expr("sequence(1, _times)"))).select(*[F.col("record")[c].alias(c) for c in docs.columns])

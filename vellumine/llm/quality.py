@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ascii_words, byte_offsets, filled, slices
+from .words import ascii_words, byte_offsets, filled, fresh, slices
 
 MOST_LABELLED, SEED = 20_000, 11
 TREES, DEPTH, RATE, BINS, RIDGE, LEAST_ROWS = 80, 4, 0.2, 64, 1.0, 10
@@ -165,12 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees:
 
 
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
-    """All rows and columns of ``docs``, with ``_score``."""
-    out = docs.withColumn("_score", F.lit(0.0))
+    """All rows and columns of ``docs``, and last the score."""
+    name = fresh(docs.columns, "_score")[0]
+    out = docs.withColumn(name, F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            i = b.schema.get_field_index("_score")
+            i = b.num_columns - 1
             yield b.set_column(i, b.schema.field(i), pa.array(model.score(statistics(filled(b, "text"))), pa.float64()))
 
     return out.mapInArrow(run, out.schema)
@@ -178,7 +179,8 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT, most: int = MOST_LABELLED) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
-    return scored(docs, fit(docs, labels, most)).filter(F.col("_score") >= cut).select(docs.columns)
+    found = scored(docs, fit(docs, labels, most))
+    return found.filter(F.col(found.columns[-1]) >= cut).select(docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:

@@ -68,8 +68,8 @@ def conversations(messages: DataFrame, thread: str = "conv_id", order: str = "tu
     """``messages`` with the text freed of quotes, and ``conversation_id`` (the smallest thread linked), ``position``
     (from 0 in reply order), ``parent_thread, parent_order`` (null if it replies to none), ``n_quoted``, ``n_linked``
     (passages quoted, and those found)."""
-    kept = [c for c in messages.columns if c not in (text, "conversation_id", "position", "parent_thread", "parent_order", "n_quoted", "n_linked")]
-    keyed = messages.select(*kept, F.col(text).alias("_t"), F.col(thread).cast("long").alias("_c"), F.col(order).cast("long").alias("_o"), F.xxhash64(text).alias("_h"))
+    kept = [c for c in messages.columns if c.lower() not in (text.lower(), "text", "conversation_id", "position", "parent_thread", "parent_order", "n_quoted", "n_linked")]
+    keyed = messages.select(F.struct(*kept).alias("_row"), F.col(text).cast("string").alias("_t"), F.col(thread).cast("long").alias("_c"), F.col(order).cast("long").alias("_o"), F.xxhash64(text).alias("_h"))
     parsed = _passages(keyed).withColumn("_own", F.flatten(F.transform(F.filter("_runs", lambda r: r["depth"] == 0), lambda r: r["body"])))
     parsed = parsed.withColumn("_quotes", F.filter("_runs", lambda r: (r["depth"] > 0) & (F.trim(F.array_join(r["body"], "")) != "")))
     parsed = written(parsed.withColumn("text", F.regexp_replace(F.regexp_replace(F.array_join("_own", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).drop("_t", "_runs"), "parsed")
@@ -100,7 +100,7 @@ def conversations(messages: DataFrame, thread: str = "conv_id", order: str = "tu
         joined = components(across).withColumnRenamed("node", "_c")
         out = out.join(joined, "_c", "left").withColumn("conversation_id", F.coalesce("component_id", "_c")).drop("component_id")
     placed = _positions(out.withColumn("n_quoted", F.size("_quotes")))
-    return placed.select(*kept, "text", "conversation_id", "position", "parent_thread", "parent_order", "n_quoted", "n_linked")
+    return placed.select(*[F.col("_row")[c].alias(c) for c in kept], "text", "conversation_id", "position", "parent_thread", "parent_order", "n_quoted", "n_linked")
 
 
 def _positions(rows: DataFrame) -> DataFrame:

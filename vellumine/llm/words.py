@@ -39,3 +39,13 @@ def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
 
 def filled(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(batch.column(column), "")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that ``columns`` has already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
