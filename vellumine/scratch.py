@@ -12,8 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a local one is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="vellumine-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellumine-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
