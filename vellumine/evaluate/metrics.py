@@ -76,7 +76,7 @@ def set_prf(predicted: Column, gold: Column) -> Column:
 
 
 def tokens(texts: Column, compat: bool = True) -> Column:
-    return F.filter(F.array_distinct(F.flatten(F.transform(texts, lambda t: F.split(metric_form(t, compat), " ")))), lambda w: w != "")
+    return F.filter(F.array_distinct(F.split(metric_form(F.array_join(texts, " "), compat), " ")), lambda w: w != "")
 
 
 def token_f1(predicted: Column, gold: Column, compat: bool = True) -> Column:

@@ -1,6 +1,7 @@
 """Text functions: Column in, Column out. Java regular expressions; ``(?U)`` makes classes Unicode where it matters."""
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +33,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where an expression uses it often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

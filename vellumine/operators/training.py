@@ -45,7 +45,7 @@ def forward_aligned(values: DataFrame, lines: DataFrame, least: float = LIKE) ->
 def located(value: Column, text: Column) -> Column:
     """The value as the text writes it, white space and case aside; empty if it is not there."""
     pattern = F.concat(F.lit("(?i)"), F.array_join(F.transform(F.split(F.trim(value), r"\s+"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), r"\s+"))
-    return F.when(F.trim(value) == "", "").otherwise(F.regexp_extract(text, pattern, 0))
+    return F.when(F.trim(value) == "", "").otherwise(F.coalesce(F.regexp_substr(text, pattern), F.lit("")))
 
 
 def assigned_truth(scored: DataFrame, block: str = "block_id", truth: str = "truth_id") -> DataFrame:
