@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # so much text is worked on at a time; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # so much text is worked on at a time; one longer text is a slice of its own
 
 
 def byte_offsets(texts: pa.Array) -> np.ndarray:
