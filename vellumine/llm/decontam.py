@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop, written
-from .words import ascii_words, byte_offsets, filled, fresh, slices
+from .words import ascii_words, bounded, byte_offsets, filled, fresh, slices
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20  # most benchmark text in one broadcast set; more is scanned in further blocks
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str
     is dealt into blocks by item, one scan each, with results so far written between scans.
     """
     spark = docs.sparkSession
-    n = _blocks(bench, item_id, item_text, block_bytes)
+    n = _blocks(bounded(bench), item_id, item_text, block_bytes)
     items = bench.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     names = fresh(docs.columns, "_n_words", "_hits", "_items")
     empty = (F.lit(0).cast("long"), F.array().cast("array<long>"), F.array().cast(f"array<{dict(bench.dtypes)[item_id]}>"))

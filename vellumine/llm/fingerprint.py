@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .words import filled, slices
+from .words import bounded, filled, slices
 
 MAP_BITS = 27  # bits of the map of shared fingerprints: 16 MB at most
 
@@ -135,7 +135,7 @@ def _told_apart(keyed: DataFrame, found: DataFrame, digest: Callable[[bytes], st
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = wide) -> DataFrame:
     """One row for each document: ``doc_id`` and ``COLUMNS``. The texts are shuffled once, to order them by doc_id."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     ordered = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     pairs = written(_pairs(ordered, digest), "pairs")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import filled, slices
+from .words import bounded, filled, slices
 
 WINDOW, SURGE = 3, 86  # lines a window; characters in a window that begin the article
 
@@ -170,7 +170,7 @@ def main_text(source: str, window: int = WINDOW, surge: int = SURGE) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
     """``page_id, url, text`` of every page; each page is worked on by itself, without a shuffle."""
-    pages = pages.select("page_id", "url", F.col(html_col).cast("string").alias("html"))
+    pages = bounded(pages).select("page_id", "url", F.col(html_col).cast("string").alias("html"))
     schema = pages.select("page_id", "url", F.col("html").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ascii_words, byte_offsets, filled, fresh, slices
+from .words import ascii_words, bounded, byte_offsets, filled, fresh, slices
 
 MOST_LABELLED, SEED = 20_000, 11
 TREES, DEPTH, RATE, BINS, RIDGE, LEAST_ROWS = 80, 4, 0.2, 64, 1.0, 10
@@ -145,7 +145,7 @@ def fold(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees:
     """Learns from at most ``most`` labelled documents outside fold 0."""
-    marks = labels.filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 0)
+    marks = bounded(labels).filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 0)
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("i")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     marks = marks.orderBy(F.xxhash64(F.lit(SEED), "i")).limit(most)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from .components import components
-from .words import filled, slices
+from .words import bounded, filled, slices
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 CHUNK = 1 << 15  # shingles whose bits are counted at a time
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle, seed) for t in filled(b, "text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # --- comparison of many fingerprints: planes[p] holds bit p of 64 fingerprints a word

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import new_path, written
-from .words import slices
+from .words import bounded, slices
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -73,7 +73,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     file_system(folder)
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    pages = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = pages.withColumn("d", F.when(F.octet_length("html") >= least, F.sha1(F.encode("html", "UTF-8"))))
     firsts = keyed.filter("d is not null").groupBy("d").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null").select("d", "top")
     marked = keyed.join(firsts, "d", "left").select("page_id", "url", "html", F.when(~F.col("top").eqNullSafe(F.col("page_id")), F.col("top")).alias("refers_to"))

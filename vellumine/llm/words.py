@@ -5,8 +5,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20  # so much text is worked on at a time; one longer text is a slice of its own
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20  # of Arrow batches between Spark and Python
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of few rows and bytes in its session, unless the user has set their size."""
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(rows) == "10000":  # Spark's own
+        conf.set(rows, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def byte_offsets(texts: pa.Array) -> np.ndarray:
