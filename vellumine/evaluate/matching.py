@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.similarity import key_similarity
 
@@ -49,10 +50,13 @@ def match_entries(predicted: DataFrame, gold: DataFrame, *keys: str, least: floa
     types = dict(predicted.dtypes)
 
     def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(g):  # a group of one side only has no columns on the other
+            return pd.DataFrame([], columns=[*keys, "predicted", "gold", "similarity"])
         p, g = p.sort_values("ord"), g.sort_values("ord")
         found = match_keys(p["key"].tolist(), g["key"].tolist(), least)
-        at = tuple(p[k].iloc[0] for k in keys) if len(p) else ()
+        at = tuple(p[k].iloc[0] for k in keys)
         return pd.DataFrame([(*at, int(p["ord"].iloc[i]), int(g["ord"].iloc[j]), s) for i, j, s in found], columns=[*keys, "predicted", "gold", "similarity"])
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + MATCHED
-    return predicted.select(*keys, "ord", "key").groupBy(*keys).cogroup(gold.select(*keys, "ord", "key").groupBy(*keys)).applyInPandas(run, schema)
+    left, right = (df.select(*[F.col(c).alias(c) for c in (*keys, "ord", "key")]).groupBy(*keys) for df in (predicted, gold))  # new columns: both may come from one table
+    return left.cogroup(right).applyInPandas(run, schema)
