@@ -395,6 +395,13 @@ def test_attention_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[k][at], rel=1e-4)
 
 
+def test_hidden_layer_is_twice_the_width():
+    from vellumine.llm import attention as A
+
+    p = A.initial(np.random.default_rng(0))
+    assert p["in"].shape == (A.WIDTH, 2 * A.WIDTH) and p["up"].shape == (2 * A.WIDTH, A.WIDTH)
+
+
 def test_scoring_windows_match_full_attention():
     from vellumine.llm import attention as A
 
