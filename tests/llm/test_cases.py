@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellumine.llm import components, decontam, fingerprint, html_main, lm, mix, quality, quotes, shard, simhash, warc
+from vellumine.llm import attention, components, decontam, fingerprint, html_main, lm, mix, quality, quotes, shard, simhash, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ", shard int, _hits string, _score string, record string, fp string, h string, _h string, bucket string, part int"
@@ -450,6 +450,40 @@ def test_lm_scores(docs, empty):
     assert all(np.isfinite(r.score) and r.train_tokens == 0 for r in lm.scores(only_held, model).collect())
 
 
+def test_model_learns_from_all_training_texts(spark, monkeypatch):
+    """Texts of any length count: classes and neighbours equal brute force, and windows come from a very long text too."""
+    texts = ["ab ba ab", "a b ab", "", None, " ".join(["lang texte"] * 9000)]  # the last has over 16 KB
+    df = spark.createDataFrame([(i, t, i == 1) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").repartition(3)
+    code = attention.Subwords(RANKS)
+    tokens = [code.tokens(lm.words_of(t or ""))[0] for i, t in enumerate(texts) if i != 1]
+    want = attention.Classes(tokens, code.size)
+    got = lm.fit(df, RANKS, steps=2).classes
+    assert (got.of == want.of).all() and (got.slot == want.slot).all()
+    blocks = lm._blocks(df, RANKS, 2000)
+    n = blocks.filter("idx = -1").agg(F.sum("n")).first()[0]
+    assert n == len(attention.windows(np.array([len(t) + 1 for t in tokens]))[0])
+    assert lm._learnt(blocks, got, 1.0).filter("kind = 1").count() == n
+    assert 0.35 * n < lm._learnt(blocks, got, 0.5).filter("kind = 1").count() < 0.65 * n
+    seen = []
+    monkeypatch.setattr(lm, "_weights", lambda drawn, n, slot, steps: seen.append((n, drawn.count())))
+    monkeypatch.setattr(lm, "PART_WINDOWS", 10)
+    for times in (40, 400):  # more text, more windows
+        lm._fit(lm._blocks(df.select("doc_id", F.expr(f"repeat(text, {times})").alias("text"), "held_out"), RANKS), RANKS, 2)
+    assert seen[1][0] > 8 * seen[0][0] and seen[1][1] > 6 * seen[0][1]
+
+
+def test_model_parts_learn_together(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_WINDOWS", 300)
+    monkeypatch.setattr(lm, "WINDOW_SHARE", 1)
+    df = spark.createDataFrame([(i, sentence(i, 400), False) for i in range(60)], "doc_id long, text string, held_out boolean").repartition(4)
+    model = lm.fit(df, RANKS, steps=80)
+    t = np.concatenate((model.classes.of[attention.Subwords(RANKS).tokens(lm.words_of(sentence(99, 300)))[0]], [attention.END]))
+    loss = -attention.sequence_logs(model.weights, model.classes.slot, t, np.array([len(t)])).mean()
+    assert loss < 0.8 * -attention.sequence_logs(attention.fresh_state()[0], model.classes.slot, t, np.array([len(t)])).mean()
+    again = lm.fit(df.repartition(2), RANKS, steps=80)
+    assert all(np.allclose(w, again.weights[k], atol=1e-3) for k, w in model.weights.items())
+
+
 def test_model_is_a_distribution_over_words():
     """Probabilities of all words of up to two letters, and of longer ones, can't exceed one."""
     model = lm.Model(RANKS, ["ab ba ab", "a b ab"], steps=30)
