@@ -472,6 +472,16 @@ def test_model_learns_from_all_training_texts(spark, monkeypatch):
     assert seen[1][0] > 8 * seen[0][0] and seen[1][1] > 6 * seen[0][1]
 
 
+@pytest.mark.parametrize("doc_id", [2, 7, None])
+def test_model_learns_where_rows_share_a_doc_id(spark, doc_id):
+    """As many rows as were once cut by a hash of doc_id alone: the windows drawn are about the share asked for."""
+    ids = F.lit(doc_id).cast("long").alias("doc_id")
+    df = spark.range(12_500).select(ids, F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"), F.lit(False).alias("held_out"))
+    blocks = lm._blocks(df, RANKS)
+    drawn = lm._learnt(blocks, attention.Classes([], attention.Subwords(RANKS).size), 0.25).filter("kind = 1").count()
+    assert 2900 < drawn < 3350
+
+
 def test_model_parts_learn_together(spark, monkeypatch):
     monkeypatch.setattr(lm, "PART_WINDOWS", 300)
     monkeypatch.setattr(lm, "WINDOW_SHARE", 1)
