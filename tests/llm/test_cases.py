@@ -319,6 +319,21 @@ def test_line_blocks_without_an_article_element():
     assert html_main.main_text(page) == "\n\n".join(["Title of it", BASE, "Short.", NEAR])
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<main><h1>Head</h1><article><p>{BASE}</p></article><p>{NEAR}</p></main>", ["Head", BASE, NEAR]),
+        (f"<article><h2>One</h2><p>{BASE}</p></article><article><h2>Two</h2><p>{NEAR}</p></article>", ["One", BASE, "Two", NEAR]),
+        (f"<article><h2>Outer</h2><p>{BASE}</p><article><p>{NEAR}</p></article><p>After it.</p></article>", ["Outer", BASE, NEAR, "After it."]),
+        (f"<article><p>{BASE}</p><main><p>{NEAR}</p></main></article>", [BASE, NEAR]),
+        (f"<main><article><p>{BASE}</p></article><article><p>{NEAR}</p></article></main>", [BASE, NEAR]),
+    ],
+)
+def test_outermost_article_or_main(body, want):
+    noise = "<nav><a href=/>Menu</a></nav>"
+    assert html_main.main_text(f"<body>{noise}<p>Outside</p>{body}<p>Outside</p><footer>Foot</footer>") == "\n\n".join(want)
+
+
 # --- WARC
 
 

@@ -3,8 +3,8 @@
 Markup is stripped to one line for each block of text; elements that are never article text (menus, footers, adverts,
 forms, scripts ...) leave an empty line. The lengths of the lines are summed over a sliding window. The article surges
 where a window first exceeds the threshold and dives where a window is empty again; the run with the most text is the
-article's place. Its edges are set to those of the article or main element that holds most of the run, if there is
-one, so that a short heading or last line next to the surge is kept; else lines of link text are trimmed.
+article's place. Its edges are set to those of the outermost article and main elements with text in the run, if they
+hold enough of it, with all that is nested in them, so that a short heading or last line next to the surge is kept; else lines of link text are trimmed.
 
 Cases: null and empty pages, and pages without text, give the empty string. Unclosed elements, comments and tags,
 and tags in scripts are handled as browsers do. Repeated rows stay rows; extra columns are ignored. An empty table
@@ -63,7 +63,7 @@ def _marked(attributes: str) -> bool:
 
 
 def lines_of(source: str) -> list[tuple[str, int, int]]:
-    """(text, characters of links, holder) of each line; holder: number of the innermost article or main, 0 for none."""
+    """(text, characters of links, holder) of each line; holder: number of the outermost article or main, 0 for none."""
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     links, linked, holders, n_holders, at = 0, False, [], 0, 0
@@ -72,7 +72,7 @@ def lines_of(source: str) -> list[tuple[str, int, int]]:
         nonlocal links
         text = "".join(parts)
         text = " ".join((html.unescape(text) if "&" in text else text).split())
-        lines.append((text, min(links, len(text)), holders[-1][1] if holders else 0))
+        lines.append((text, min(links, len(text)), holders[0][1] if holders else 0))
         parts.clear()
         links = 0
 
@@ -105,7 +105,7 @@ def lines_of(source: str) -> list[tuple[str, int, int]]:
                         parts.append(re.sub(r"<[^>]*>", " ", h[2]))
                         flush()
                 else:
-                    lines.append(("", 0, holders[-1][1] if holders else 0))
+                    lines.append(("", 0, holders[0][1] if holders else 0))
                 at = end if end >= 0 else len(source)
                 continue
         if name in ("article", "main"):
@@ -157,10 +157,9 @@ def main_text(source: str, window: int = WINDOW, surge: int = SURGE) -> str:
     held: dict[int, int] = {}
     for t, k, holder in kept[a:b]:
         held[holder] = held.get(holder, 0) + len(t) - k
-    if held.keys() - {0}:  # any article's edges are surer than the distribution's
-        inside = max((h for h in held if h), key=lambda h: held[h])
-        if held[inside] * 4 >= max(held.values()):
-            return "\n\n".join(t for t, _, h in kept if t and h == inside)
+    inside = {h for h in held if h}
+    if inside and sum(held[h] for h in inside) * 4 >= held.get(0, 0):  # the edges of articles are surer than the distribution's
+        return "\n\n".join(t for t, _, h in kept if t and h in inside)
     while a < b and (not kept[a][0] or 2 * kept[a][1] > len(kept[a][0])):
         a += 1
     while b > a and (not kept[b - 1][0] or 2 * kept[b - 1][1] > len(kept[b - 1][0])):
