@@ -386,6 +386,19 @@ def test_quotes(spark):
     assert quotes.conversations(m.limit(0)).count() == 0
 
 
+def test_replies_between_quotes_are_found(spark):
+    one, two = "Is the old mill open on Monday?", "Is it warm?"
+    rows = [
+        (1, 0, f"{one}\n{two}"), (1, 1, f"> {one}\nYes.\n> {two}\nNo,\nit is not."),
+        (1, 2, f">> {one}\n> Yes.\n>> {two}\n> No,\n> it is not.\nFine then."), (1, 3, "> No, it is not.\nA pity."), (2, 0, "> Fine then.\nWhat is?"),
+    ]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    by = {(r.conv_id, r.turn): r for r in quotes.conversations(m).collect()}
+    assert [by[1, k].parent_order for k in range(4)] == [None, 0, 1, 1]
+    assert (by[1, 2].n_quoted, by[1, 2].n_linked) == (4, 3)
+    assert by[2, 0].parent_order == 2 and by[2, 0].conversation_id == 1
+
+
 # --- language model
 
 

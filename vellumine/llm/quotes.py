@@ -2,8 +2,8 @@
 
 A line's quote level is the number of ``>`` before it. Runs of lines of one level are passages; a line that announces a
 quotation ("... wrote:") right before a deeper run belongs to the quotation. A passage's normal form (lower case, white
-space folded) is hashed and joined to the normal forms of what messages say themselves: whole messages, and single
-lines of ``LEAST_WORDS`` words or more. A message replies to the first message of its thread that said what it
+space folded) is hashed and joined to the normal forms of what messages say themselves: whole messages, what they say
+between two quotations, and single lines of ``LEAST_WORDS`` words or more. A message replies to the first message of its thread that said what it
 quotes, the shallowest level first, whole passages before lines; only what no earlier message of the thread said is
 looked up in other threads, among messages before it in (thread, order). Threads so linked are one conversation.
 
@@ -55,11 +55,13 @@ def _passages(messages: DataFrame) -> DataFrame:
     return out.withColumn("_runs", F.when(F.size("_lines") > 0, runs).otherwise(F.array().cast("array<struct<depth:int,body:array<string>>>"))).drop("_lines", "_starts")
 
 
-def _units(said: DataFrame, body: str, *keys: str) -> DataFrame:
-    """Hashes (``u``) of a text's normal form (kind 0) and of its longer lines (kind 1)."""
+def _units(said: DataFrame, body: str, *keys: str, runs: str | None = None) -> DataFrame:
+    """Hashes (``u``) of the normal forms of a text and of its ``runs`` (kind 0), and of its longer lines (kind 1)."""
     whole = normal(F.array_join(body, " "))
     long = F.filter(F.transform(body, normal), lambda x: F.size(F.split(x, " ")) >= LEAST_WORDS)
     each = F.concat(F.array(F.struct(F.lit(0).alias("kind"), whole.alias("form"))), F.transform(long, lambda x: F.struct(F.lit(1).alias("kind"), x.alias("form"))))
+    if runs:
+        each = F.concat(each, F.transform(runs, lambda x: F.struct(F.lit(0).alias("kind"), normal(x).alias("form"))))
     out = said.select(*keys, F.explode(each).alias("x")).filter(F.col("x.form") != "")
     return out.select(*keys, F.col("x.kind").alias("kind"), F.sha2(F.col("x.form"), 256).alias("u"))
 
@@ -71,13 +73,15 @@ def conversations(messages: DataFrame, thread: str = "conv_id", order: str = "tu
     kept = [c for c in messages.columns if c.lower() not in (text.lower(), "text", "conversation_id", "position", "parent_thread", "parent_order", "n_quoted", "n_linked")]
     keyed = messages.select(F.struct(*kept).alias("_row"), F.col(text).cast("string").alias("_t"), F.col(thread).cast("long").alias("_c"), F.col(order).cast("long").alias("_o"), F.xxhash64(text).alias("_h"))
     parsed = _passages(keyed).withColumn("_own", F.flatten(F.transform(F.filter("_runs", lambda r: r["depth"] == 0), lambda r: r["body"])))
+    own_runs = F.transform(F.filter("_runs", lambda r: r["depth"] == 0), lambda r: F.array_join(r["body"], " "))
+    parsed = parsed.withColumn("_said", F.when(F.size(own_runs) > 1, own_runs).otherwise(F.array().cast("array<string>")))  # one run is the whole
     parsed = parsed.withColumn("_quotes", F.filter("_runs", lambda r: (r["depth"] > 0) & (F.trim(F.array_join(r["body"], "")) != "")))
     parsed = written(parsed.withColumn("text", F.regexp_replace(F.regexp_replace(F.array_join("_own", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).drop("_t", "_runs"), "parsed")
 
     firm = parsed.filter("_c is not null and _o is not null")
     quotes = firm.filter(F.size("_quotes") > 0).select("_c", "_o", "_h", F.posexplode("_quotes").alias("p", "q")).select("_c", "_o", "_h", "p", "q.depth", "q.body")
     quoted = written(_units(quotes, "body", "_c", "_o", "_h", "p", "depth").distinct(), "quoted")
-    said = _units(firm, "_own", "_c", "_o")
+    said = _units(firm, "_own", "_c", "_o", runs="_said")
     wanted = quoted.select("u").distinct()  # only what is quoted somewhere is kept of what was said
     first = written(said.join(wanted, "u", "left_semi").groupBy("u", "_c").agg(F.min("_o").alias("po")), "first")
 
