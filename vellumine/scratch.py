@@ -1,5 +1,6 @@
 """Tables written between the steps of one operator, in the folder that all executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ OWN_FOLDER = "vellumine-scratch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a local one is made and set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset a local one is made and set, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellumine-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -37,6 +40,12 @@ def hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: a bare one is in the cluster's default file system, not on the machine that opens it."""
+    p, fs = hadoop_path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table from ``written`` that no later plan reads."""
     if path := getattr(df, "_scratch_path", None):
