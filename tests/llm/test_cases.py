@@ -353,13 +353,85 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(p.limit(0)).count() == 0
 
 
+def brute_records(data: bytes) -> list[int]:
+    """Where the records of an archive begin, read from the first byte to the last."""
+    places, at = [], 0
+    while at < len(data):
+        if data[at] in warc.PADDING:
+            at += 1
+            continue
+        one = zlib.decompressobj(31)
+        one.decompress(data[at:])
+        places.append(at)
+        at = len(data) - len(one.unused_data)
+    return places
+
+
+def read_split(path, split: int) -> list[int]:
+    n = path.stat().st_size
+    return [place for a in range(0, n, split) for place, _, _ in warc.records_in(str(path), a, min(n, a + split))]
+
+
+DATE = "2026-01-01T00:00:00Z"
+
+
+def one_record(i: int, text: str) -> bytes:
+    return warc.record(i, f"http://h/{i}", text.encode(), None, False, DATE)
+
+
+@pytest.mark.parametrize("gap", [b"", b"\0\0", b"\n", b"\r\n\r\n"])
+def test_warc_split_reading_equals_sequential(tmp_path, gap):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(gap.join(one_record(i, sentence(i, 1 + 40 * i)) for i in range(9)) + gap)
+    want = brute_records(path.read_bytes())
+    assert len(want) == 9
+    for split in (1, 7, 100, 1000, 1 << 20):
+        assert read_split(path, split) == want
+
+
+def test_warc_damage_is_an_error(tmp_path):
+    parts = [one_record(i, sentence(i, 200)) for i in range(6)]
+    whole = b"".join(parts)
+    first = len(parts[0])
+    damaged = {"cut": whole[:-20], "cut after padding": b"\n".join(parts)[:-20], "magic": whole[:first] + b"x" + whole[first + 1 :], "middle": whole[: first + 60] + b"\xff" * 8 + whole[first + 68 :], "between": parts[0] + b"junk" + b"".join(parts[1:])}
+    for name, data in damaged.items():
+        path = tmp_path / "b.warc.gz"
+        path.write_bytes(data)
+        for split in (97, first, first + 1, 1 << 20):
+            with pytest.raises(ValueError):
+                read_split(path, split)
+                pytest.fail(name)
+
+
+def test_warc_large_member_and_counts(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    path = tmp_path / "c.warc.gz"
+    path.write_bytes(warc.record(1, None, rng.bytes(20 << 20), None, False, DATE) + one_record(2, "x"))  # hardly packed: many reads
+    assert read_split(path, 1 << 20) == brute_records(path.read_bytes())
+    manifest = spark.createDataFrame([(str(path), path.stat().st_size, 3)], "path string, size long, records long")
+    with pytest.raises(ValueError, match="should have 3 records, but 2"):
+        warc.check_counts(warc.read_archives(manifest), manifest)
+
+
+def test_warc_revisits_name_record_ids(spark):
+    big = "<p>" + sentence(5, 400) + "</p>"
+    rows = [(1, "u", big), (9, "v", big), (9, "w", big), (4, "x", "small"), (5, "x", "small"), (None, "y", big + "!"), (None, "z", big + "!")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("d", "top", "refers_to", "path")})
+    got = warc.read_archives(warc.write_archives(p, date=DATE)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (0, "response", 0), (1, "revisit", 9), (4, "response", 0), (5, "response", 0), (9, "response", 0), (9, "response", 0)]
+    ids = {r.record_id: r for r in got if r.record_type == "response"}
+    for r in got:
+        assert (r.refers_to_id is None) == (r.record_type == "response")
+        assert r.refers_to_id is None or (ids[r.refers_to_id].page_id, ids[r.refers_to_id].payload_digest) == (r.refers_to, r.payload_digest)
+
+
 def test_warc_false_members_are_passed_over(tmp_path):
-    inner = warc.record(9, None, b"inside", None, False, "0")
+    inner = warc.record(9, None, b"inside", None, False, DATE)
     outer = warc.zlib.compressobj(0, 8, 31)  # stored, so the inner member's bytes stand in the file
     whole = outer.compress(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(inner) + inner + b"\r\n\r\n") + outer.flush()
     path = tmp_path / "a.warc.gz"
-    path.write_bytes(whole + warc.record(10, None, b"next", None, False, "1"))
-    ids = [f.get("page-id") for f, _ in warc.records_in(str(path), 1, path.stat().st_size)]
+    path.write_bytes(whole + warc.record(10, None, b"next", None, False, DATE))
+    ids = [f.get("page-id") for _, f, _ in warc.records_in(str(path), 1, path.stat().st_size)]
     assert ids == ["10"]
 
 
