@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import unicodedata
 import zlib
 
@@ -334,6 +335,70 @@ def test_outermost_article_or_main(body, want):
     assert html_main.main_text(f"<body>{noise}<p>Outside</p>{body}<p>Outside</p><footer>Foot</footer>") == "\n\n".join(want)
 
 
+def brute_stretches(sizes: list[int], window: int, surge: int) -> list[tuple[int, int, int, bool]]:
+    """Sums of all windows, also of those over the ends; lines are of one stretch unless a window of zero is between them."""
+    wide = [0] * window + sizes + [0] * window
+    sums = {i: sum(wide[i + window : i + 2 * window]) for i in range(-window, len(sizes) + 1)}
+    full = [i for i, n in enumerate(sizes) if n]
+    groups = []
+    for i in full:
+        if groups and not any(sums[k] == 0 for k in range(groups[-1][-1] + 1, i)):
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    return [(g[0], g[-1] + 1, sum(sizes[g[0] : g[-1] + 1]), any(sums[k] > surge for k in range(g[0] - window + 1, g[-1] + 1))) for g in groups]
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        sizes = (rng.integers(0, 60, rng.integers(0, 40)) * (rng.random() < rng.random(1))).tolist()
+        sizes = [n if rng.random() < 0.4 else 0 for n in sizes]
+        for window, surge in ((1, 30), (3, 86), (4, 10)):
+            assert html_main.stretches(sizes, window, surge) == brute_stretches(sizes, window, surge)
+
+
+def test_text_of_several_surges_and_of_none():
+    gap = "<div class=ad><p>a</p><p>b</p><p>c</p></div>"
+    page = f"<nav><p>Menu</p></nav>{gap}<div><p>Lead.</p><p>{BASE}</p></div>{gap}<div><p>{NEAR}</p></div>{gap}<p>Odd</p>"
+    assert html_main.main_text(page) == "\n\n".join(["Lead.", BASE, NEAR])
+    assert html_main.main_text(f"<article><p>{BASE}</p></article>{gap}<div><p>{NEAR}</p></div>") == BASE  # stands otherwise than the article
+    assert html_main.main_text(f"<article><p>{BASE}</p>{gap}<p>{NEAR}</p></article>") == f"{BASE}\n\n{NEAR}"
+    assert html_main.main_text("<div class=ad>Buy this</div><p>Few words.</p><p>More.</p>") == "Few words.\n\nMore."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav><p>Never closed</p><p>at all", "Never closed\n\nat all"), ("<p>ok</p><a x='", "ok"), ('<p title=O\'Brien>one</p><p title="a > b">two</p>', "one\n\ntwo"),
+        ("<p>a<script>if (a</b) x='</p>'</script>b</p>", "a b"), ("<p>a</p><script>never ended <p>b</p>", "a"), ("<ul><li class=ad>Buy<li>Stay</ul>", "Stay"),
+        ("<p>x<button>Press</button>y</p>", "xy"), ("<p>one<p class='comment'>two<p>three", "one\n\nthree"), ("<p>&lt;b&gt; &amp;amp;</p>", "<b> &amp;"), ("</div></p><p>a</p></ul>", "a"),
+    ],
+)
+def test_html_as_browsers_read_it(page, want):
+    assert html_main.main_text(page) == want
+
+
+EVIL = {
+    "attributes": "<p>hello world</p><a " + 'x="y" ' * 170_000, "unclosed": "<div class=nav>" * 70_000, "quotes": '<a x="' * 150_000, "mixed": "<a b='<a b=\"" * 80_000, "less": "<" * 10**6, "comments": "<!-" * 300_000,
+    "equals": "<a " + "=" * 10**6, "scripts": "<script>" * 120_000, "paragraphs": "<p>" * 300_000 + "x", "ends": "</div>" * 150_000, "deep": "<nav>" * 90_000 + "</nav>" * 90_000, "classes": "<a " + "class = " * 120_000 + ">", "links": "<a>x" * 200_000,
+}
+
+
+@pytest.mark.parametrize("kind", EVIL)
+def test_html_of_a_megabyte_takes_no_time(kind):
+    began = time.process_time()
+    html_main.main_text(EVIL[kind])
+    assert time.process_time() - began < 2
+
+
+def test_html_long_repeated_and_clashing(spark):
+    page = "<article>" + "".join(f"<p>{sentence(i, 60)}</p>" for i in range(3000)) + "</article>"
+    p = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, "<p>a</p>")], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("text", "_h", "n_chars")})
+    rows = html_main.extract(p).collect()
+    assert len(rows) == 3 and [len(r.text.split("\n\n")) for r in rows if r.page_id == 1] == [3000, 3000]
+
+
 # --- WARC
 
 
