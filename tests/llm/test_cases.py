@@ -615,6 +615,38 @@ def test_lm_scores(docs, empty):
     assert all(np.isfinite(r.score) and r.train_tokens == 0 for r in lm.scores(only_held, model).collect())
 
 
+def test_whole_score_against_brute_force(spark, docs):
+    """The mixture word by word: the attention model's share from a plain pass over each window, the counts from a Counter."""
+    marked = docs.select("doc_id", "text", (lm.fold(F.col("doc_id")) == 1).alias("held_out")).filter("length(text) < 2000 or text is null")
+    model = lm.fit(marked, RANKS, steps=20)
+    rows = [(r.doc_id, [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode()))], r.held_out) for r in marked.collect()]
+    counts = {None: 0}
+    for _, words, held in rows:
+        for w in () if held else [*words, None]:
+            counts[w] = counts.get(w, 0) + 1
+    total, code, want = sum(counts.values()), attention.Subwords(RANKS), []
+    p, A = model.weights, attention
+    for i, words, _ in rows:
+        spelt = [(w, model.classes.of[code.tokens([w])[0]].tolist()) for w in words] + [(None, [A.END])]
+        flat = [c for _, own in spelt for c in own]
+        x, logs = np.array([A.START, *flat[:-1]]), []
+        for s in [0, *range(24, max(1, len(flat) - 8), 24)]:
+            y, _ = A.attend(p, np.resize(x[s : s + 32], (1, 32)))
+            for k in range(len(logs) - s, min(32, len(flat) - s)):
+                slot = model.classes.slot[flat[s + k]]
+                group, member = y[k] @ p["group"] + p["group_b"], y[k] @ p["member"][slot // 32] + p["member_b"][slot // 32]
+                logs.append(group[slot // 32] - np.log(np.exp(group).sum()) + member[slot % 32] - np.log(np.exp(member).sum()) + (model.classes.log_rare if flat[s + k] == A.RARE else 0))
+        score, at = 0.0, 0
+        for w, own in spelt:
+            score += np.log10(lm.MIX * np.exp(sum(logs[at : at + len(own)])) + (1 - lm.MIX) * counts.get(w, 0) / total)
+            at += len(own)
+        want.append((i or -1, len(spelt), score))
+    for block in (300, 8 << 20):
+        got = [(r.doc_id or -1, r.n_tokens, r.score) for r in lm.scores(marked, model, block_bytes=block).collect()]
+        for (a, n, x), (b, m, y) in zip(sorted(got), sorted(want), strict=True):
+            assert (a, n) == (b, m) and x == pytest.approx(y, rel=1e-4)
+
+
 def test_model_learns_from_all_training_texts(spark, monkeypatch):
     """Texts of any length count: classes and neighbours equal brute force, and windows come from a very long text too."""
     texts = ["ab ba ab", "a b ab", "", None, " ".join(["lang texte"] * 9000)]  # the last has over 16 KB

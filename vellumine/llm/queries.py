@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import decontam, fingerprint, html_main, lm, mix, quality, quotes, shard, simhash, warc
+from .words import limit_arrow
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +55,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_source_mixing, op4_quality_classifier, op5_benchmark_decontamination, op6_html_extraction, op7_document_fingerprints, op8_chat_formatting, op9_warc, op10_simhash_near_dedup)}
+def _limited(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        limit_arrow(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _limited(f) for f in (op1_lm_scoring, op2_sharding, op3_source_mixing, op4_quality_classifier, op5_benchmark_decontamination, op6_html_extraction, op7_document_fingerprints, op8_chat_formatting, op9_warc, op10_simhash_near_dedup)}

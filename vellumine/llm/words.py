@@ -1,23 +1,34 @@
 """Words of Arrow text columns, split in C++ or numpy; runs in Python workers."""
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20  # so much text is worked on at a time; one longer text is a slice of its own
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20  # of Arrow batches between Spark and Python
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of few rows and bytes in its session, unless the user has set their size."""
-    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(rows) == "10000":  # Spark's own
-        conf.set(rows, str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+def limit_arrow(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes in this session, unless the user has set their size.
+
+    For queries and pipelines to call: operators work under any setting and leave the session as it is, but hold a
+    batch of Spark's own size (10,000 rows, 64 MB) where this is not done.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's own
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library hold free to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def byte_offsets(texts: pa.Array) -> np.ndarray:
@@ -37,6 +48,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``most`` bytes of text, however they come: a piece ends with the row that fills it."""
+    held, size = [], 0
+    for b in slices(batches, column, max(1, most // 8)):
+        held.append(b)
+        size += pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
