@@ -6,8 +6,8 @@ mix is cut where its words reach the budget. A source whose target exceeds its s
 ``MOST_REPEATS`` times.
 
 Cases: null texts and texts without words have size 0 and are never taken; a null source is a source of its own, last
-in order. Rows equal in doc_id, source and text are counted first and dealt out again, so a group of any size is no
-single task's work. An empty table gives an empty result. Other columns are kept by ``mixture`` and ignored by
+in order. Rows equal in doc_id, source and text are counted first and numbered again, in steps of ``COPIES`` that are
+dealt out anew, so a group of any size is no single task's work and no long array. An empty table gives an empty result. Other columns are kept by ``mixture`` and ignored by
 ``shares``, whatever their names.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 WEIGHTS, BUDGET, MOST_REPEATS, SEED = (5, 2, 1), 1.5, 2, 99
-RUN_BITS = 10  # a source's order is cut into 2^RUN_BITS runs, each summed on its own
+RUN_ROWS, MOST_RUN_BITS = 1 << 17, 20  # a source's order is cut into runs of about so many rows, each summed on its own
+COPIES = 1 << 12  # copies of a row that are numbered at a time
 RANGES = 1 << 18  # ranges of virtual finish time
 
 
@@ -25,6 +26,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def numbered(rows: DataFrame, times: str, number: str, key: list[str], largest: int) -> DataFrame:
+    """Each row as often as its long ``times`` says, with ``number`` from 1 on.
+
+    ``largest``: the most copies of a row. Beyond ``COPIES`` they are made in steps, dealt out by ``key`` and step, so
+    that no array is longer than that for up to ``COPIES`` ** 3 copies.
+    """
+    out = rows.filter(F.col(times) <= COPIES).withColumn(number, F.explode(F.expr(f"sequence(1L, `{times}`)")))
+    if largest <= COPIES:
+        return out
+    wide = COPIES**2
+    many = rows.filter(F.col(times) > COPIES).withColumn("_at", F.explode(F.expr(f"sequence(0L, `{times}` - 1, {wide}L)")))
+    many = many.withColumn("_at", F.explode(F.expr(f"sequence(_at, least(`{times}`, _at + {wide}L) - 1, {COPIES}L)"))).repartition(F.xxhash64(*key, "_at"))
+    return out.unionByName(many.withColumn(number, F.explode(F.expr(f"sequence(_at + 1, least(`{times}`, _at + {COPIES}L))"))).drop("_at"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST_REPEATS) -> DataFrame:
     """``source, source_size`` with ``target``: shares of the budget by weight, none above ``most`` times the size.
 
@@ -48,7 +64,10 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     ``h`` is the row's seeded hash, which also gives its place in its source's order.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    rows = written(sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")).withColumn("run", F.shiftright("h", 64 - RUN_BITS)), "sized")
+    rows = written(sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")), "sized")
+    n_rows, largest = rows.agg(F.count("*"), F.max("m")).first()
+    bits = min(MOST_RUN_BITS, max(4, (n_rows // RUN_ROWS).bit_length()))
+    rows = rows.withColumn("run", F.shiftright("h", 64 - bits))
     runs = rows.groupBy("source", "run").agg(F.sum(F.col("size") * F.col("m")).alias("run_size"))
     runs = written(runs, "runs")
     goals = targets(runs.groupBy("source").agg(F.sum("run_size").alias("source_size")), weights, budget, most)
@@ -58,7 +77,7 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     placed = rows.join(runs, rows.source.eqNullSafe(runs.s) & (rows.run == runs.r))
     within = Window.partitionBy("source", "run").orderBy("h", "doc_id")
     start = F.col("before") + F.sum(F.col("size") * F.col("m")).over(within) - F.col("size") * F.col("m")
-    placed = placed.withColumn("start", start).withColumn("j", F.explode(F.expr("sequence(1L, m)")))
+    placed = numbered(placed.withColumn("start", start), "m", "j", ["h", "doc_id"], largest or 0)
     one = written(placed.select("doc_id", "source", "size", "h", "j", "source_size", "target", (F.col("start") + F.col("j") * F.col("size")).alias("ends")), "order")
 
     def finish(again: int) -> Column:
@@ -95,14 +114,15 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The mix's documents with the columns of ``docs``, a row for each time a document is taken."""
-    times = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).cast("int")
+    times = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).cast("long")
     plan = written(shares(docs, weights, budget, most, seed).groupBy("doc_id", "h", "source").agg(times.alias("_times"), F.count("*").alias("_rows")).filter("_times > 0"), "plan")
     plan = plan.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("source").alias("s"), "_times", "_rows")
     doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
     keyed = docs.select(F.struct(*docs.columns).alias("record"), doc_id.alias("own_i"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("own_g"), source.alias("own_s"))
     same = F.col("own_i").eqNullSafe(F.col("i")) & (F.col("own_g") == F.col("g")) & F.col("own_s").eqNullSafe(F.col("s"))
-    out = keyed.join(plan.filter("_rows = 1"), same).select("record", "_times")
-    many = plan.filter("_rows > 1")
-    if not many.isEmpty():  # rows equal in doc_id, source and text: one of them is taken for all
-        out = out.unionByName(keyed.join(many, same).groupBy("i", "g", "s", "_times").agg(F.first("record").alias("record")).select("record", "_times"))
-    return out.select("record", F.explode(F.expr("sequence(1, _times)"))).select(*[F.col("record")[c].alias(c) for c in docs.columns])
+    out = keyed.join(plan.filter("_rows = 1"), same).select("record", F.explode(F.expr("sequence(1L, _times)")))
+    largest = plan.filter("_rows > 1").agg(F.max("_times")).first()[0]
+    if largest:  # rows equal in doc_id, source and text: one of them is taken for all
+        one = keyed.join(plan.filter("_rows > 1"), same).groupBy("i", "g", "s", "_times").agg(F.first("record").alias("record"))
+        out = out.unionByName(numbered(one, "_times", "col", ["i", "g"], largest).select("record", "col"))
+    return out.select(*[F.col("record")[c].alias(c) for c in docs.columns])
