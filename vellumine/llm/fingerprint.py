@@ -17,7 +17,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -52,39 +53,43 @@ COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_finger
 
 
 def _pairs(ordered: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
-    """Results for rows whose next row is in their partition; the first and last row of each partition as they are."""
+    """Results for rows whose next row is in their partition; the first and last row of each partition (``part``) as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, rows = None, []
+        before, rows, part = None, [], TaskContext.get().partitionId()
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             rows.clear()
             return out
 
-        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("edge", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("edge", pa.string()), ("part", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
         for b in slices(batches, "text"):
             for doc_id, h, text in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), filled(b, "text").to_pylist(), strict=True):
                 own = canonical(text)
                 if before is None:
-                    rows.append((doc_id, h, "first", text, *[None] * 6))
+                    rows.append((doc_id, h, "first", part, text, *[None] * 6))
                 else:
-                    rows.append((before[0], before[1], None, None, *_row(before[2], before[3], text, own, digest)))
+                    rows.append((before[0], before[1], None, None, None, *_row(before[2], before[3], text, own, digest)))
                 before = (doc_id, h, text, own)
             if rows:
                 yield flushed()
         if before is not None:
-            rows.append((before[0], before[1], "last", before[2], *[None] * 6))
+            rows.append((before[0], before[1], "last", part, before[2], *[None] * 6))
             yield flushed()
 
-    return ordered.mapInArrow(run, f"doc_id long, h long, edge string, text string, {COLUMNS}")
+    return ordered.mapInArrow(run, f"doc_id long, h long, edge string, part long, text string, {COLUMNS}")
 
 
 def _edges(edges: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
-    """Results for the last row of each partition: two rows for each partition of the sort, whatever the table's size."""
-    order = Window.orderBy(F.col("doc_id").asc_nulls_first(), "h", F.when(F.col("edge") == "first", 0).otherwise(1))
-    head = F.first(F.when(F.col("edge") == "first", F.col("text")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    put = edges.withColumn("following", F.coalesce(F.lead("text").over(order), head)).filter("edge = 'last'").select("doc_id", "h", "text", "following")
+    """Results for the last row of each partition of the sort, joined to the first row of the next one that has rows.
+
+    Only numbers of partitions are put into one order; their texts meet two by two.
+    """
+    last, first = edges.filter("edge = 'last'"), edges.filter("edge = 'first'").select(F.col("part").alias("then"), F.col("text").alias("following"))
+    parts = [r.part for r in last.select("part").orderBy("part").collect()]  # a number for each partition of one sort
+    follows = edges.sparkSession.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "part long, then long")
+    put = last.select("doc_id", "h", "text", "part").join(follows, "part").join(first, "then").select("doc_id", "h", "text", "following")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,5 +145,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     pairs = written(_pairs(ordered, digest), "pairs")
     whole = pairs.filter("edge is null").select("doc_id", "h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    ends = _edges(pairs.filter("edge is not null").select("doc_id", "h", "edge", "text"), digest)
+    ends = _edges(pairs.filter("edge is not null").select("doc_id", "h", "edge", "part", "text"), digest)
     return _told_apart(keyed, whole.unionByName(ends), digest)
