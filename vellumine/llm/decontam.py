@@ -18,7 +18,8 @@ from ..scratch import drop, written
 from .words import ascii_words, byte_offsets, filled, fresh, slices
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20  # most benchmark text in one broadcast set; more is scanned in further blocks
+BLOCK_BYTES = 8 << 20  # most benchmark text in one broadcast set (some 30 bytes a word); more is scanned in further blocks
+PIECE_WORDS = 100_000  # longer items are cut into pieces that overlap by a window less a word
 
 
 def _word_table() -> np.ndarray:
@@ -38,70 +39,95 @@ def norm_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class GramSet:
-    """Windows of the items: for each length, sorted hashes, the words' codes, and the items of each window."""
+    """Windows of the items: for each length, sorted hashes, where in the items' words each window stands, and its items."""
 
     def __init__(self, ids: list, texts: list[str], window: int = WINDOW):
         words, rows = norm_words(pa.array(texts, pa.string()))
-        vocab = words.unique()
-        codes = pc.index_in(words, value_set=vocab).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.vocab = vocab.to_pylist()
+        self.vocab = words.unique()
+        self.codes = pc.index_in(words, value_set=self.vocab).to_numpy(zero_copy_only=False).astype(np.int32)
         self.names = [i for i in dict.fromkeys(ids) if i is not None]
         place = {x: k for k, x in enumerate(self.names)}
-        grams: dict[int, dict[tuple, set]] = {}
-        ends = np.searchsorted(rows, np.arange(len(texts)), side="right")
-        for item, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(texts) else ()):
-            size = min(window, b - a)
-            for s in range(a, b - size + 1) if size else ():
-                own = grams.setdefault(size, {}).setdefault(tuple(codes[s : s + size].tolist()), set())
-                if ids[item] is not None:
-                    own.add(place[ids[item]])
-        self.powers, seed = None, 0
-        while self.powers is None:  # other multipliers, should two windows share a hash
+        owner = np.array([place.get(i, -1) for i in ids], np.int64)[rows] if len(rows) else np.empty(0, np.int64)
+        n_words = np.bincount(rows, minlength=len(texts))[rows] if len(rows) else np.empty(0, np.int64)
+        left = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(texts)))))[rows + 1] - np.arange(len(rows))
+        sizes = np.minimum(window, n_words)
+        starts = {int(size): np.flatnonzero((sizes == size) & (left >= size)) for size in np.unique(sizes)}
+        for seed in range(100):  # other multipliers, should two windows share a hash
             self.powers = np.random.default_rng(seed).integers(1, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            self.tables = {size: self._table(size, own) for size, own in grams.items()}
-            if any(t is None for t in self.tables.values()):
-                self.powers, seed = None, seed + 1
-
-    def _table(self, size: int, own: dict[tuple, set]):
-        keys = np.array(list(own), np.int64).reshape(-1, size)
-        hashes = self.hash(keys)
-        order = np.argsort(hashes)
-        if (np.diff(hashes[order].view(np.int64)) == 0).any():
+            self.tables = {size: self._table(size, at, owner) for size, at in starts.items()}
+            if not any(t is None for t in self.tables.values()):
+                break
+        else:
+            raise RuntimeError("windows share a hash whatever the multipliers")
+
+    def _table(self, size: int, at: np.ndarray, owner: np.ndarray):
+        """Hashes of the distinct windows that begin at ``at``, a place of each, where its items begin, and the items."""
+        hashes = self.hash(self.codes, at, size)
+        order = np.lexsort((owner[at], hashes))
+        hashes, at = hashes[order], at[order]
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        if not self.equal(self.codes, at[1:][~new[1:]], at[:-1][~new[1:]], size).all():
             return None
-        items = [sorted(x) for x in own.values()]
-        items = [items[i] for i in order.tolist()]
-        return hashes[order], keys[order], np.cumsum([0, *map(len, items)]), np.array([y for x in items for y in x], np.int64)
-
-    def hash(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) + np.uint64(1)) * self.powers[: keys.shape[1]]).sum(1, dtype=np.uint64)
-
-    def scan(self, texts: pa.Array, vocab: pa.Array):
+        own = owner[at]
+        listed = (own >= 0) & (new | np.concatenate(([True], own[1:] != own[:-1])))
+        distinct = np.cumsum(new) - 1
+        per = np.bincount(distinct[listed], minlength=int(new.sum()))
+        return hashes[new], at[new], np.concatenate(([0], np.cumsum(per))), own[listed]
+
+    def hash(self, codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            out += (codes[at + k].astype(np.uint64) + np.uint64(1)) * self.powers[k]
+        return out
+
+    def equal(self, codes: np.ndarray, at: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+        """If the window of ``codes`` at each of ``at`` is that of the items' words at ``own``."""
+        same = np.ones(len(at), bool)
+        for k in range(size):
+            same &= codes[at + k] == self.codes[own + k]
+        return same
+
+    def scan(self, texts: pa.Array):
         """For each text: words, and which are hit; pairs (text, item)."""
         words, rows = norm_words(texts)
-        codes = pc.fill_null(pc.index_in(words, value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = pc.fill_null(pc.index_in(words, value_set=self.vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.concatenate(([0], np.cumsum(codes < 0)))
         edge, found = np.zeros(len(codes) + 1, np.int64), [np.empty((2, 0), np.int64)]
-        for size, (hashes, keys, ptr, items) in self.tables.items():
+        for size, (hashes, places, ptr, items) in self.tables.items():
             if size > len(codes):
                 continue
             at = np.flatnonzero((missing[size:] == missing[: len(codes) - size + 1]) & (rows[size - 1 :] == rows[: len(codes) - size + 1]))
             for part in np.array_split(at, len(at) // 100_000 + 1):
-                windows = codes[part[:, None] + np.arange(size)]
-                h = self.hash(windows)
+                h = self.hash(codes, part, size)
                 pos = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                ok = (hashes[pos] == h) & (keys[pos] == windows).all(1)  # the verification of the hit
+                part, pos = part[hashes[pos] == h], pos[hashes[pos] == h]
+                ok = self.equal(codes, part, places[pos], size)  # the verification of the hit
                 part, pos = part[ok], pos[ok]
                 np.add.at(edge, part, 1)
                 np.add.at(edge, part + size, -1)
+                if not len(part):
+                    continue
+                row, pos = np.unique(np.stack((rows[part], pos)), axis=1)  # a window that a text repeats counts its items once
                 n = ptr[pos + 1] - ptr[pos]
-                own = items[np.repeat(ptr[pos] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if len(pos) else np.empty(0, np.int64)
-                found.append(np.unique(np.stack((np.repeat(rows[part], n), own)), axis=1))
+                own = items[np.repeat(ptr[pos] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+                found.append(np.unique(np.stack((np.repeat(row, n), own)), axis=1))
         return rows, np.cumsum(edge[:-1]) > 0, np.unique(np.concatenate(found, axis=1), axis=1)
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, most: int) -> int:
-    total = bench.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, -(-total // most))
+def _pieces(bench: DataFrame, window: int, id_col: str, text_col: str, piece: int = PIECE_WORDS) -> DataFrame:
+    """``i, t``: the items' words, those of long items in pieces that have all their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            words, rows = norm_words(filled(b, "t"))
+            edges = np.searchsorted(rows, np.arange(b.num_rows + 1))
+            for r in np.flatnonzero(np.diff(edges)).tolist():
+                a, end = int(edges[r]), int(edges[r + 1])
+                texts = [" ".join(words[at : min(end, at + piece + window - 1)].to_pylist()) for at in range(a, max(a + 1, end - window + 1), piece)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r] * len(texts))), pa.array(texts, pa.string())], ["i", "t"])
+
+    items = bench.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    return items.mapInArrow(run, items.schema)
 
 
 def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -109,11 +135,11 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str
     hit words as [from, to, from, to ...] word positions, and ids of the items that occur.
 
     The benchmark's size is measured first. Up to ``block_bytes`` of text make one broadcast set. A larger benchmark
-    is dealt into blocks by item, one scan each, with results so far written between scans.
+    is dealt into blocks by item or piece of one, one scan each, with results so far written between scans.
     """
     spark = docs.sparkSession
-    n = _blocks(bench, item_id, item_text, block_bytes)
-    items = bench.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
+    items = written(_pieces(bench, window, item_id, item_text, min(PIECE_WORDS, max(1, block_bytes // 64))), "items")
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     names = fresh(docs.columns, "_n_words", "_hits", "_items")
     empty = (F.lit(0).cast("long"), F.array().cast("array<long>"), F.array().cast(f"array<{dict(bench.dtypes)[item_id]}>"))
     out = docs.withColumns(dict(zip(names, empty, strict=True)))
@@ -132,9 +158,8 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str
 def _scanner(grams, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = grams.value
-        vocab = pa.array(g.vocab, pa.string())
         for b in slices(batches, text_col):
-            rows, hit, pairs = g.scan(filled(b, text_col), vocab)
+            rows, hit, pairs = g.scan(filled(b, text_col))
             n_words = np.bincount(rows, minlength=b.num_rows)
             first = np.concatenate(([0], np.cumsum(n_words)))
             hits, items = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
