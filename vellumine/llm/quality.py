@@ -23,6 +23,7 @@ from .words import ascii_words, byte_offsets, filled, fresh, slices
 MOST_LABELLED, SEED = 20_000, 11
 TREES, DEPTH, RATE, BINS, RIDGE, LEAST_ROWS = 80, 4, 0.2, 64, 1.0, 10
 CUT, FOLDS = 0.3, 5
+CHUNK = 1 << 18  # bytes counted at a time
 
 # Classes of bytes whose shares are statistics.
 CLASSES = {
@@ -47,8 +48,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
     kind = np.zeros(256, np.int64)
     for k, own in enumerate(CLASSES.values(), 1):
         kind[list(own)] = k
-    owner = np.repeat(np.arange(n), np.diff(at))
-    counts = np.bincount(owner * 11 + kind[data], minlength=n * 11).reshape(n, 11)[:, 1:]
+    counts = np.zeros(n * 11, np.int64)
+    for a in range(0, len(data), CHUNK):
+        own = np.searchsorted(at - at[0], np.arange(a, min(a + CHUNK, len(data))), side="right") - 1
+        counts += np.bincount(own * 11 + kind[data[a : a + CHUNK]], minlength=n * 11)
+    counts = counts.reshape(n, 11)[:, 1:]
     shares = counts / np.maximum(1, np.diff(at))[:, None]
 
     words, rows = ascii_words(texts, lower=False)
@@ -144,7 +148,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees:
-    """Learns from at most ``most`` labelled documents outside fold 0."""
+    """Learns from at most ``most`` labelled documents outside fold 0; of rows that share a doc_id, from one."""
     marks = labels.filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 0)
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("i")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     marks = marks.orderBy(F.xxhash64(F.lit(SEED), "i")).limit(most)
@@ -152,11 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = statistics(filled(b, "text"))
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "h", "y", "x"])
 
     # 16 bytes each of ``most`` rows at most are broadcast.
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), F.col("doc_id") == F.col("i")).select("doc_id", "y", "text")
-    rows = own.mapInArrow(run, "y double, x array<double>").toPandas()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), F.col("doc_id") == F.col("i")).select("doc_id", F.xxhash64("text").alias("h"), "y", "text")
+    found = own.mapInArrow(run, "doc_id long, h long, y double, x array<double>")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("r.y", "r.x").toPandas()
     if not len(rows):
         return boosted(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
