@@ -20,8 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{OWN_FOLDER}/{uuid.uuid4().hex}-{name}"
+    _made.append(f"{shared_dir(spark)}/{OWN_FOLDER}/{uuid.uuid4().hex}-{name}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -53,6 +57,20 @@ def drop(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def made() -> int:
+    """How many scratch paths this process has handed out; for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes what was made after the first ``since`` paths, but for the table ``keep``, which must not need the rest."""
+    own = getattr(keep, "_scratch_path", None)
+    for path in _made[since:]:
+        if path != own:
+            p, fs = hadoop_path(spark, path)
+            fs.delete(p, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes all scratch tables; call it once all results have been written."""
     p, fs = hadoop_path(spark, f"{shared_dir(spark)}/{OWN_FOLDER}")
