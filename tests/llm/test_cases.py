@@ -592,7 +592,9 @@ def test_scoring_windows_match_full_attention():
         at += n
 
 
-def test_lm_scores(docs, empty):
+@pytest.mark.parametrize("blocks", [1, 3, 1 << 14])
+def test_lm_scores(docs, empty, monkeypatch, blocks):
+    monkeypatch.setattr(lm, "BLOCKS_A_WORD", blocks)
     marked = docs.select("doc_id", "text", (lm.fold(F.col("doc_id")) == 1).alias("held_out"))
     model = lm.fit(marked, RANKS, steps=5)
     got = {}
@@ -615,6 +617,13 @@ def test_lm_scores(docs, empty):
     assert all(np.isfinite(r.score) and r.train_tokens == 0 for r in lm.scores(only_held, model).collect())
 
 
+def test_words_are_put_together_again():
+    code, words = attention.Subwords(RANKS), ["alta", "é", "x", "tal\x1c", "日本", "al" * 50]
+    tokens, begin = code.tokens(words)
+    assert attention.joined(attention.spellings(RANKS), tokens, np.diff(begin)).to_pylist() == words
+    assert attention.joined(attention.spellings(RANKS), tokens[:0], np.diff(begin[:1])).to_pylist() == []
+
+
 def test_whole_score_against_brute_force(spark, docs):
     """The mixture word by word: the attention model's share from a plain pass over each window, the counts from a Counter."""
     marked = docs.select("doc_id", "text", (lm.fold(F.col("doc_id")) == 1).alias("held_out")).filter("length(text) < 2000 or text is null")
