@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 WEIGHTS, BUDGET, MOST_REPEATS, SEED = (5, 2, 1), 1.5, 2, 99
-RUN_ROWS, MOST_RUN_BITS = 1 << 17, 20  # a source's order is cut into runs of about so many rows, each summed on its own
+RUN_ROWS, RUN_BITS, MOST_RUN_BITS = 1 << 17, 10, 20  # a source's order is cut into 2^RUN_BITS runs, or so many that a run has RUN_ROWS rows; each is summed on its own
 COPIES = 1 << 12  # copies of a row that are numbered at a time
 RANGES = 1 << 18  # ranges of virtual finish time
 
@@ -66,7 +66,7 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     rows = written(sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")), "sized")
     n_rows, largest = rows.agg(F.count("*"), F.max("m")).first()
-    bits = min(MOST_RUN_BITS, max(4, (n_rows // RUN_ROWS).bit_length()))
+    bits = min(MOST_RUN_BITS, max(RUN_BITS, (n_rows // RUN_ROWS).bit_length()))
     rows = rows.withColumn("run", F.shiftright("h", 64 - bits))
     runs = rows.groupBy("source", "run").agg(F.sum(F.col("size") * F.col("m")).alias("run_size"))
     runs = written(runs, "runs")
