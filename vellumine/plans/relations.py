@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaro_winkler_udf
+from ..functions.similarity import winkler_pairs
 from ..operators.header import lines_under
 from ..operators.layout import interval_gaps, interval_islands, weighted_mode
 from ..scratch import new_path
@@ -76,12 +76,10 @@ def spatial_overlap_join(spark, sf_dir):
     return lines_under(links, lines).select("doc_id", "link_ord", "line_no")
 
 
-@query("""with n as (select distinct p_name as name from part) select a.name as a, b.name as b, round(jaro_winkler_similarity(a.name, b.name), 6) as sim from n a join n b on a.name < b.name and split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1)
+@query("""with n as (select distinct p_name as name from part) select a.name as a, b.name as b, round(jaro_winkler_similarity(a.name, b.name), 6) as sim from n a join n b on a.name < b.name
 where jaro_winkler_similarity(a.name, b.name) >= 0.85""")
 def near_duplicate_parts(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.split("a", " ")[0])
-    pairs = n.join(n.withColumnRenamed("a", "b"), "k").filter("a < b").withColumn("s", jaro_winkler_udf("a", "b"))
-    return pairs.filter("s >= 0.85").select("a", "b", F.round("s", 6).alias("sim"))
+    return winkler_pairs(table(spark, sf_dir, "part").select(F.col("p_name").alias("a")), 0.85).select("a", "b", F.round("similarity", 6).alias("sim"))
 
 
 @query("""select l_returnflag, l_linestatus, cast(sum(l_quantity) as bigint) as qty, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2""")
