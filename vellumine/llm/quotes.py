@@ -24,7 +24,7 @@ from .components import components
 
 LEAST_WORDS = 5
 # How mail programs announce a quotation, in four languages.
-ANNOUNCES = r"(?i)^\s*.{0,200}\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
+ANNOUNCES = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 MARKER = r"^(?:[ \t]{0,3}>)+ ?"
 
 
