@@ -106,20 +106,24 @@ def character_errors(spark, sf_dir):
     return metrics.character_errors(pairs).select("k", F.round("cer", 9).alias("cer"))
 
 
-@query()
+@query("""with c as (select o_custkey, o_orderkey % 26 as letter, count(*) filter (where o_orderkey % 5 <> 0) as p, count(*) filter (where o_orderkey % 7 <> 0) as g from orders group by 1, 2),
+s as (select o_custkey, cast(sum(p) as bigint) as n_predicted, cast(sum(g) as bigint) as n_gold, cast(sum(least(p, g)) as bigint) as n_matched, cast(sum(case when (letter + o_custkey) % 3 = 0 then 0 else least(p, g) end) as bigint) as n_correct from c group by 1 having sum(p) + sum(g) > 0)
+select *, round(case when n_predicted + n_gold > 0 then 2.0 * n_correct / (n_predicted + n_gold) else 1.0 end, 9) as f1 from s where n_predicted > 0 and n_gold > 0""")
 def entity_match_prf(spark, sf_dir):
-    """Names of parts against spoilt ones, matched one to one within each brand and type."""
-    p = table(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("key"))
-    gold, keys = p.filter("ord % 11 <> 0"), ("p_brand", "p_size")
-    predicted = p.filter("ord % 13 <> 0").withColumn("key", F.when(F.col("ord") % 4 == 0, F.concat("key", F.lit("s"))).otherwise(F.upper("key")))
-    scores = metrics.entity_scores(predicted, gold, matching.match_entries(predicted, gold, *keys), *keys)
-    return scores.groupBy("p_brand").agg(F.sum("n_predicted").alias("n_predicted"), F.sum("n_gold").alias("n_gold"), F.sum("n_matched").alias("n_matched"), F.sum("n_correct").alias("n_correct"), F.round(F.avg("f1"), 6).alias("macro_f1"))
-
-
-@query("""with d as (select source, sha256(concat_ws('|', doc_id, lang, n_chars)) as digest from documents) select source, count(distinct digest) as n from d group by source""")
+    """Orders of each customer as entries, keyed by one of 26 letters, some predicted, some spoilt by half: the best
+    one-to-one matching pairs equal letters, and spoilt ones are matched but wrong."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("int").alias("ord"))
+    letter = F.char(F.lit(97) + F.col("ord") % 26)
+    gold = o.filter("ord % 7 <> 0").withColumn("key", F.repeat(letter, F.lit(10)))
+    spoilt = (F.col("ord") % 26 + F.col("o_custkey")) % 3 == 0
+    predicted = o.filter("ord % 5 <> 0").withColumn("key", F.when(spoilt, F.concat(F.repeat(letter, F.lit(5)), F.lit("00000"))).otherwise(F.upper(F.repeat(letter, F.lit(10)))))
+    scores = metrics.entity_scores(predicted, gold, matching.match_entries(predicted, gold, "o_custkey"), "o_custkey")
+    return scores.filter("n_predicted > 0 and n_gold > 0").select("o_custkey", "n_predicted", "n_gold", "n_matched", "n_correct", F.round("f1", 9).alias("f1"))
+
+
+@query("""select doc_id, sha256('{' || concat_ws(',', '"doc_id":' || doc_id, '"lang":"' || lang || '"', '"n_chars":' || n_chars, '"source":"' || source || '"') || '}') as digest from documents""")
 def digests(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", F.sha2(F.concat_ws("|", "doc_id", "lang", "n_chars"), 256).alias("digest"))
-    return d.groupBy("source").agg(F.count_distinct("digest").alias("n"))
+    return metrics.digest(table(spark, sf_dir, "documents").select("source", "n_chars", "lang", "doc_id"))
 
 
 @query("""select l_suppkey, l_orderkey, l_linenumber, row_number() over w as rn, sum(l_quantity) over (w rows unbounded preceding) as upto from lineitem window w as (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate)""")

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import squeezed
-from ..operators import normalise
+from ..operators import entries, header, normalise, sections
 from ..operators.clean import dedupe
+from ..scratch import written
 from ..tables import table
 from .registry import pick, picked, query, values
 
@@ -123,15 +124,22 @@ def award_kinds(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(normalise.award_or_certification(text, F.lit("")), F.lit("none")).alias("kind"))
 
 
-@query()
+SPELT = "case o_orderkey % 3 when 0 then repeat(letter, 8) when 1 then upper(repeat(letter, 8)) else ' ' || repeat(letter, 8) || '.' end"
+
+
+@query(f"""with o as (select o_custkey, o_orderkey, chr(cast(97 + o_orderkey % 26 as int)) as letter from orders),
+g as (select o_custkey, letter, min(o_orderkey) as first, arg_min({SPELT}, o_orderkey) as name, cast(count(*) - 1 as int) as n_merged from o group by all)
+select o_custkey as doc_id, cast(row_number() over (partition by o_custkey order by first) - 1 as int) as ord, name, n_merged from g""")
 def dedupe_entries(spark, sf_dir):
-    """Part names as awards of brands: near-duplicates are merged into the first kept one, in order."""
-    p = table(spark, sf_dir, "part")
-    none = F.lit("")
-    e = p.select(F.col("p_brand").alias("doc_id"), F.lit(0).alias("section_no"), F.col("p_partkey").cast("int").alias("entry_no"), F.array(F.col("p_partkey").cast("int")).alias("line_ids"), F.struct(F.col("p_name").alias("name"), none.alias("issuingBody"), none.alias("date"), none.alias("justification")).alias("entry"))
+    """Orders of each customer as awards named by one of 26 letters, in three spellings: those of one name are one award."""
+    none, line = F.lit(""), F.col("o_orderkey").cast("int")
+    name = F.expr(SPELT)
+    o = table(spark, sf_dir, "orders").withColumn("letter", F.char(F.lit(97) + F.col("o_orderkey") % 26))
+    e = o.select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("section_no"), line.alias("entry_no"), F.array(line).alias("line_ids"), F.struct(name.alias("name"), none.alias("issuingBody"), none.alias("date"), none.alias("justification")).alias("entry"))
     return dedupe(e, "awards").select("doc_id", "ord", "entry.name", "n_merged")
 
 
+FIRST, LAST, PLACES = ["Elko", "Mara", "Tilda", "Bren"], ["Quill", "Tarn", "Hosker"], ["Pune", "Mumbai", "Chennai"]
 TITLES = ["Software Engineer", "Data Analyst", "Project Manager", "Research Intern", "Product Designer"]
 FIRMS = ["Ketter Systems", "Brask Industries Ltd", "Norvik Technologies", "Alder Solutions"]
 SCHOOLS = ["Calder College", "Ferrin University", "Ostrel Institute of Technology"]
@@ -139,22 +147,76 @@ COURSES = [("B.Tech in Information Technology", "Bachelor of Technology", "Infor
 CUSTOMER = f"""select c_custkey as k, {picked(TITLES, 'c_custkey')} as title, {picked(FIRMS, 'c_custkey')} as company, {picked(SCHOOLS, 'c_custkey')} as school, {picked([t for _, t, _ in COURSES], 'c_custkey')} as degree, {picked([c for _, _, c in COURSES], 'c_custkey')} as course, 2005 + c_custkey % 12 as y, c_custkey % 2 = 1 as monthly from customer"""
 
 
-@query(f"""select cast(k as varchar) as doc_id, 'c' || k || '@mail.example.org' as email, title, company, y || case when monthly then '-03-01' else '-01-01' end as start, (y + 2) || case when monthly then '-08-01' else '-01-01' end as "end", school, degree, course,
-  1 as n_jobs, 1 as n_schools, 'Reduced the run time of report ' || k || ' by ' || (10 + k % 80) || '%.' as achievement from ({CUSTOMER})""")
-def extracted_records(spark, sf_dir):
-    """A document written for every customer, in eight layouts, through the whole chain: records with the fields put in."""
-    from ..records import Options, extract, from_texts
-
+def _written_records(spark, sf_dir):
+    """``doc_id, text``: a record of every customer, in eight layouts."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     y, monthly = (F.lit(2005) + k % 12).cast("int"), k % 2 == 1
     since = F.when(monthly, F.concat(F.lit("Mar "), y)).otherwise(y.cast("string"))
     until = F.when(monthly, F.concat(F.lit("Aug "), y + 2)).otherwise((y + 2).cast("string"))
     colon, mark = F.when(k % 4 >= 2, ":").otherwise(""), F.when(k % 8 >= 4, "- ").otherwise("• ")
     said = F.concat(F.lit("Reduced the run time of report "), k, F.lit(" by "), 10 + k % 80, F.lit("%."))
-    lines = [F.lit("Elko Quill"), F.concat(F.lit("c"), k, F.lit("@mail.example.org")), F.concat(F.lit("EXPERIENCE"), colon), F.concat(pick(TITLES, k), F.lit("\t"), since, F.lit(" - "), until), pick(FIRMS, k), F.concat(mark, said),
+    lines = [F.concat(pick(FIRST, k), F.lit(" "), pick(LAST, k)), F.concat(F.lit("c"), k, F.lit("@mail.example.org | +91 98765 "), F.lpad((k % 100_000).cast("string"), 5, "0"), F.lit(" | "), pick(PLACES, k), F.lit(", India")), F.concat(F.lit("EXPERIENCE"), colon), F.concat(pick(TITLES, k), F.lit("\t"), since, F.lit(" - "), until), pick(FIRMS, k), F.concat(mark, said),
              F.concat(F.lit("EDUCATION"), colon), F.concat(pick([t for t, _, _ in COURSES], k), F.lit("\t"), y - 4, F.lit(" - "), y), pick(SCHOOLS, k), F.concat(F.lit("SKILLS"), colon), F.lit("React, Node.js, MongoDB")]
-    docs = c.select(k.cast("string").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    return c.select(k.cast("string").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+#: Sections and heads of the lines of a written record.
+LINES = [("header", False)] * 2 + [("workHistory", True)] + [("workHistory", False)] * 3 + [("education", True)] + [("education", False)] * 2 + [("skills", True), ("skills", False)]
+
+
+@query(f"select cast(c_custkey as varchar) as doc_id, v.n as line_no, v.section, v.is_heading = 'True' as is_heading from customer cross join ({values([(i, s, h) for i, (s, h) in enumerate(LINES)])}) as v(n, section, is_heading)")
+def record_lines(spark, sf_dir):
+    """Headings and sections of the lines of every customer's record."""
+    from ..records import from_texts
+
+    lines = sections.segment(written(from_texts(_written_records(spark, sf_dir)), "lines"))
+    return lines.select("doc_id", "line_no", "section", "is_heading")
+
+
+ENTRIES = [("workHistory", 2, 1, 3, 5), ("education", 2, 0, 7, 8), ("skills", 1, 0, 10, 10)]
+
+
+@query(f"select cast(c_custkey as varchar) as doc_id, 0 as entry_no, v.* from customer cross join ({values(ENTRIES)}) as v(section, n_head, n_body, first, last)")
+def record_entries(spark, sf_dir):
+    """Entries of the sections of every customer's record: lines of their heads and bodies."""
+    from ..records import from_texts
+
+    lines = written(sections.segment(written(from_texts(_written_records(spark, sf_dir)), "lines")), "sections")
+    found = entries.entries(lines)
+    return found.select("doc_id", "entry_no", "section", F.size("head").alias("n_head"), F.size("body").alias("n_body"), F.array_min("line_ids").alias("first"), F.array_max("line_ids").alias("last"))
+
+
+@query(f"""select cast(k as varchar) as doc_id, first || ' ' || last as name, '+9198765' || lpad(cast(k % 100000 as varchar), 5, '0') as phone, 'c' || k || '@mail.example.org' as email, city, 'India' as country
+from (select c_custkey as k, {picked(['Elko', 'Mara', 'Tilda', 'Bren'], 'c_custkey')} as first, {picked(['Quill', 'Tarn', 'Hosker'], 'c_custkey')} as last, {picked(['Pune', 'Mumbai', 'Chennai'], 'c_custkey')} as city from customer)""")
+def record_contacts(spark, sf_dir):
+    """Contact data of every customer's record."""
+    from ..records import from_texts
+
+    m = header.header(written(from_texts(_written_records(spark, sf_dir)), "lines")).select("doc_id", "metaDetails.*")
+    return m.select("doc_id", "name", F.col("phone_no").alias("phone"), "email", F.col("address.city").alias("city"), F.col("address.country").alias("country"))
+
+
+FIELDS = [("workHistory", "title", 3), ("workHistory", "company", 4), ("education", "institution", 8)]
+
+
+@query(f"select cast(c_custkey as varchar) as doc_id, v.* from customer cross join ({values(FIELDS)}) as v(section, field, line_no)")
+def record_provenance(spark, sf_dir):
+    """The lines that the fields of every customer's record are grounded in."""
+    from ..records import Options, extract, from_texts
+
+    found = extract(from_texts(_written_records(spark, sf_dir)), Options(AS_OF)).provenance
+    named = found.select("doc_id", F.regexp_extract("path", r"^(\w+)\[", 1).alias("section"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("field"), F.explode("line_ids").alias("line_no"))
+    return named.filter(F.concat_ws(".", "section", "field").isin([f"{a}.{b}" for a, b, _ in FIELDS]))
+
+
+@query(f"""select cast(k as varchar) as doc_id, 'c' || k || '@mail.example.org' as email, title, company, 'Web: React, Node.js; Databases: MongoDB' as skills, y || case when monthly then '-03-01' else '-01-01' end as start, (y + 2) || case when monthly then '-08-01' else '-01-01' end as "end", school, degree, course,
+  1 as n_jobs, 1 as n_schools, 'Reduced the run time of report ' || k || ' by ' || (10 + k % 80) || '%.' as achievement from ({CUSTOMER})""")
+def extracted_records(spark, sf_dir):
+    """A document written for every customer, in eight layouts, through the whole chain: records with the fields put in."""
+    from ..records import Options, extract, from_texts
+
+    docs = _written_records(spark, sf_dir)
     found = extract(from_texts(docs), Options(AS_OF)).records
     job, school = F.try_element_at("workHistory", F.lit(1)), F.try_element_at("education", F.lit(1))
     return found.select("doc_id", F.col("metaDetails.email").alias("email"), job["title"].alias("title"), job["company"].alias("company"), job["period"]["start"].alias("start"), job["period"]["end"].alias("end"), school["institution"].alias("school"),
-                        school["field"]["type"].alias("degree"), school["field"]["course"].alias("course"), F.size("workHistory").alias("n_jobs"), F.size("education").alias("n_schools"), F.try_element_at(job["achievements"], F.lit(1)).alias("achievement"))
+                        school["field"]["type"].alias("degree"), school["field"]["course"].alias("course"), F.array_join(F.transform("skills", lambda g: F.concat(g["field"], F.lit(": "), F.array_join(F.transform(g["tools"], lambda x: x["name"]), ", "))), "; ").alias("skills"), F.size("workHistory").alias("n_jobs"), F.size("education").alias("n_schools"), F.try_element_at(job["achievements"], F.lit(1)).alias("achievement"))

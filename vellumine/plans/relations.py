@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..evaluate.metrics import worst
 from ..functions.similarity import winkler_pairs
 from ..operators.header import lines_under
 from ..operators.layout import interval_gaps, interval_islands, weighted_mode
@@ -110,7 +111,7 @@ def pivot_languages(spark, sf_dir):
 
 @query("select source, doc_id, n_chars from documents order by n_chars, doc_id limit 10")
 def topk_worst(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").orderBy("n_chars", "doc_id").limit(10)
+    return worst(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "n_chars", "doc_id")
 
 
 @query("""select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
