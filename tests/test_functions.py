@@ -109,3 +109,9 @@ def test_ratios():
     assert similarity.ratio("abc", "abd") == pytest.approx(200 * 2 / 6) and similarity.token_sort_ratio("b a", "a b") == 100.0 and similarity.token_set_ratio("a b c", "a b") == 100.0
     assert similarity.partial_alignment("bcd", "abcde") == (100.0, 1, 4) and similarity.partial_ratio("hello wrld", "say hello world now") >= 90
     assert similarity.key_similarity("", None) == 1.0 and similarity.key_similarity("a", "") == 0.0
+
+
+def test_repaired(spark):
+    said = {"It\u00e2\u20ac\u2122s caf\u00c3\u00a9": "It\u2019s caf\u00e9", "na\u00efve \u00c3": "na\u00efve \u00c3", "plain": "plain", "": "", "\u65e5\u672c \u00c3\u00a9": "\u65e5\u672c \u00c3\u00a9", "\u00c3\u00bcber": "\u00fcber"}
+    df = spark.createDataFrame([(k, v) for k, v in said.items()] + [(None, None)], "t string, want string")
+    assert df.select(text.repaired("t").alias("got"), "want").filter("not (got <=> want)").count() == 0

@@ -47,6 +47,17 @@ def bare(text: Column, chars: str) -> Column:
     return F.regexp_replace(text, f"^[{chars}]+|[{chars}]+$", "")
 
 
+#: Characters that Windows-1252 has in place of the control characters 128 to 159, and those.
+WINDOWS = {bytes([b]).decode("cp1252", "ignore"): chr(b) for b in range(128, 160) if bytes([b]).decode("cp1252", "ignore")}
+
+
+def repaired(text: Column | str) -> Column:
+    """UTF-8 that was read as Latin-1 or Windows-1252 ("cafÃ©"), read again; a text that is no such bytes stays."""
+    plain = F.translate(col(text), "".join(WINDOWS), "".join(WINDOWS.values()))
+    again = F.when(plain.rlike(r"^[\x00-\xFF]*$") & plain.rlike(r"[\xC2-\xF4][\x80-\xBF]"), F.encode(plain, "ISO-8859-1").cast("string"))
+    return F.coalesce(F.when(F.is_valid_utf8(again), again), col(text))
+
+
 # --- normal forms; they differ on purpose
 
 

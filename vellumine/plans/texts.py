@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.links import classify, clean_url, host, hrefs, norm_url
-from ..functions.text import EMAIL, ground_form, metric_form, redacted
+from ..functions.text import EMAIL, ground_form, metric_form, redacted, repaired
 from ..operators import entries, header, sections
 from ..operators.layout import text_features
 from ..scratch import written
@@ -69,6 +69,13 @@ def secret_redaction(spark, sf_dir):
     return d.select("doc_id", redacted(t).alias("shown"))
 
 
+@query("select doc_id, sha256(text) as digest from documents")
+def mojibake_repair(spark, sf_dir):
+    """Texts whose bytes were read as Latin-1, read again."""
+    spoilt = F.when(F.col("doc_id") % 3 > 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
+    return doc_table(spark, sf_dir).select("doc_id", spoilt.alias("text")).select("doc_id", F.sha2(F.encode(repaired("text"), "UTF-8"), 256).alias("digest"))
+
+
 @query(f"""select doc_id, 0 as page_no, cast(n_chars as bigint) as n_chars, case when n_chars > 0 then n_cid * 1.0::double / n_chars else 0.0 end as cid_ratio, n_chars < 200 or (n_chars > 0 and n_cid * 1.0::double / n_chars > 0.05) as needs_ocr
 from (select doc_id, sum(length(regexp_replace(text, '\\s', '', 'g'))) as n_chars, sum(len(regexp_extract_all(text, '\\(cid:\\d+\\)'))) as n_cid from ({LINES}) group by doc_id)""")
 def quality_gate(spark, sf_dir):
