@@ -1,10 +1,10 @@
 """One-to-one matching of predicted and gold entries by key similarity."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..folds import folded
 from ..functions.similarity import key_similarity
 
 LEAST = 0.5
@@ -49,14 +49,11 @@ def match_entries(predicted: DataFrame, gold: DataFrame, *keys: str, least: floa
     document's entries of one section."""
     types = dict(predicted.dtypes)
 
-    def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(g):  # a group of one side only has no columns on the other
-            return pd.DataFrame([], columns=[*keys, "predicted", "gold", "similarity"])
-        p, g = p.sort_values("ord"), g.sort_values("ord")
-        found = match_keys(p["key"].tolist(), g["key"].tolist(), least)
-        at = tuple(p[k].iloc[0] for k in keys)
-        return pd.DataFrame([(*at, int(p["ord"].iloc[i]), int(g["ord"].iloc[j]), s) for i, j, s in found], columns=[*keys, "predicted", "gold", "similarity"])
+    def run(rows: list) -> list[tuple]:
+        p, g = ([r for r in rows if r.is_gold == side] for side in (False, True))
+        at = rows[0][: len(keys)]
+        return [(*at, p[i].ord, g[j].ord, s) for i, j, s in match_keys([r.key for r in p], [r.key for r in g], least)]
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + MATCHED
-    left, right = (df.select(*[F.col(c).alias(c) for c in (*keys, "ord", "key")]).groupBy(*keys) for df in (predicted, gold))  # new columns: both may come from one table
-    return left.cogroup(right).applyInPandas(run, schema)
+    left, right = (df.select(*keys, F.col("ord").cast("int").alias("ord"), "key", F.lit(side).alias("is_gold")) for df, side in ((predicted, False), (gold, True)))
+    return folded(left.unionByName(right), list(keys), ["is_gold", "ord"], run, schema)
