@@ -11,6 +11,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # a small shuffle of text still feeds every core
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("VELLUMINE_DRIVER_MEMORY", memory))
         .config("spark.ui.enabled", "false")
