@@ -48,7 +48,7 @@ i as (select *, sum(new) over (partition by l_suppkey order by a, b rows unbound
 
 def _shipped(spark, sf_dir):
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
-    return table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("a"), (day + F.col("l_quantity").cast("int") % 5).alias("b"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("a"), (day + F.rint("l_quantity").cast("int") % 5).alias("b"))
 
 
 @query(ISLANDS + " select l_suppkey, a, b, n from u")
