@@ -64,3 +64,11 @@ def test_equal_intervals_stay_in_one_island(spark):
     spans = [(k, a, b) for k in range(50) for a, b in ((0, 2), (5, 5), (5, 5), (5, 5), (8, 9), (8, 9))]
     got = sorted(map(tuple, interval_islands(spark.createDataFrame(spans, "k int, a int, b int").repartition(7), "a", "b", "k").select("k", "a", "b", "n").collect()))
     assert got == [(k, a, b, n) for k in range(50) for a, b, n in ((0, 2, 1), (5, 5, 3), (8, 9, 2))]
+
+
+def test_gaps_end_at_known_starts(spark):
+    """An interval without a start stands alone after the others: no gap begins at its end."""
+    from vellumine.operators.layout import interval_gaps
+
+    spans = spark.createDataFrame([(1, 2, 4), (1, None, 0), (1, 9, 9)], "k int, a int, b int")
+    assert [tuple(r) for r in interval_gaps(spans, "a", "b", 2, "k").collect()] == [(1, 4, 9)]
