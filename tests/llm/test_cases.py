@@ -700,6 +700,26 @@ def test_model_parts_learn_together(spark, monkeypatch):
     assert all(np.allclose(w, again.weights[k], atol=1e-3) for k, w in model.weights.items())
 
 
+def test_weights_meet_every_window(spark, monkeypatch):
+    """No share of the windows is left out however many there are: the rounds after the first hold each exactly once, and so do shuffled batches."""
+    df = spark.createDataFrame([(i, sentence(i, 300), i % 4 == 1) for i in range(30)], "doc_id long, text string, held_out boolean").repartition(3)
+    blocks, rounds = lm._blocks(df, RANKS), []
+    n = blocks.filter("idx = -1").agg(F.sum("n")).first()[0]
+    weights, asked = lm._weights, []
+    monkeypatch.setattr(lm, "PART_WINDOWS", 40)
+    monkeypatch.setattr(lm, "_weights", lambda drawn, n, slot, steps: asked.append((n, drawn.count(), drawn, slot)))
+    lm._fit(blocks, RANKS, 8)
+    assert asked[0][:2] == (n, n) and n > 400
+    monkeypatch.setattr(lm, "_round", lambda rows, parts, slot, state, *steps: rounds.append([(r.part, r.key, bytes(r.data)) for r in rows.collect()]) or state)
+    weights(asked[0][2], n, asked[0][3], 8)
+    assert sorted(x[1:] for r in rounds[1:] for x in r) == sorted((r.key, bytes(r.data)) for r in asked[0][2].collect())
+    assert {x[0] for r in rounds[1:] for x in r} == set(range(-(-n // 40))) and len(rounds[0]) > 0
+    for size, times in ((3, 2), (96, 3), (1000, 11)):
+        met = np.concatenate(list(attention.turns(size, times, (1, 2))))
+        assert (np.bincount(met, minlength=size) >= 1).all()
+    assert len(np.unique(np.concatenate(list(attention.turns(1000, 10, (1, 2)))))) == 960
+
+
 def test_model_is_a_distribution_over_words():
     """Probabilities of all words of up to two letters, and of longer ones, can't exceed one."""
     model = lm.Model(RANKS, ["ab ba ab", "a b ab"], steps=30)

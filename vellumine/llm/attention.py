@@ -9,6 +9,7 @@ scored window by window; without any text the weights stay as they were drawn, a
 """
 
 import base64
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +128,6 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
     }
 
 
-MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
@@ -139,10 +139,10 @@ def attend(p: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, tu
     q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= np.float32(d**-0.5)
-    s += MASK
-    s -= s.max(-1, keepdims=True)
+    np.clip(s, -80, 80, out=s)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
+    s *= CAUSAL
+    s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
     a = np.matmul(s, v).reshape(-1, d)
     h = x.reshape(-1, d) + a @ p["out"]
     r = np.maximum(h @ p["in"] + p["in_b"], 0)
@@ -249,42 +249,55 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, slots: np.ndarray, v
     y, (x, q, k, v, s, a, h, r) = attend(p, inputs)
     d, n = WIDTH, len(inputs)
     g, total = {k_: np.zeros_like(w) for k_, w in p.items()}, int(valid.sum())
-    rows, target = np.flatnonzero(valid.ravel()), slots[valid]
-    ys, group = y[rows], target // MEMBERS
-
-    def soft(logits: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
-        loss = -np.log(e[np.arange(len(at)), at] + 1e-30).sum()
-        e[np.arange(len(at)), at] -= 1
-        return float(loss), e / total
-
-    loss, dl = soft(ys @ p["group"] + p["group_b"], group)
+    target = slots[valid]
+    order = np.argsort((target // MEMBERS).astype(np.int8), kind="stable")
+    rows, target = np.flatnonzero(valid.ravel())[order], target[order]
+    ys, group = y.take(rows, axis=0), target // MEMBERS
+    ends, lane = np.searchsorted(group, np.arange(GROUPS + 1)).tolist(), np.arange(total)
+    own = [(c, slice(ends[c], ends[c + 1])) for c in range(GROUPS) if ends[c] < ends[c + 1]]
+
+    def soft(logits: np.ndarray, at: np.ndarray) -> float:
+        """Loss; the logits become its gradients."""
+        np.clip(logits, -80, 80, out=logits)
+        np.exp(logits, out=logits)
+        logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
+        loss = -np.log(logits[lane, at] + 1e-30).sum()
+        logits[lane, at] -= 1
+        logits *= 1 / max(1, total)
+        return float(loss)
+
+    dl, dm = ys @ p["group"], np.empty((total, MEMBERS), ys.dtype)
+    dl += p["group_b"]
+    for c, at in own:
+        np.matmul(ys[at], p["member"][c], out=dm[at])
+        dm[at] += p["member_b"][c]
+    loss = soft(dl, group) + soft(dm, target % MEMBERS)
     g["group"], g["group_b"] = ys.T @ dl, dl.sum(0)
     dys = dl @ p["group"].T
-    for c in range(GROUPS):
-        own = np.flatnonzero(group == c)
-        if len(own):
-            more, dm = soft(ys[own] @ p["member"][c] + p["member_b"][c], target[own] % MEMBERS)
-            loss += more
-            g["member"][c], g["member_b"][c] = ys[own].T @ dm, dm.sum(0)
-            dys[own] += dm @ p["member"][c].T
+    for c, at in own:
+        g["member"][c], g["member_b"][c] = ys[at].T @ dm[at], dm[at].sum(0)
+        dys[at] += dm[at] @ p["member"][c].T
     dy = np.zeros_like(y)
     dy[rows] = dys
     g["up"] = r.T @ dy
-    dr = (dy @ p["up"].T) * (r > 0)
+    dr = dy @ p["up"].T
+    dr *= r > 0
     g["in"], g["in_b"] = h.T @ dr, dr.sum(0)
     dh = dy + dr @ p["in"].T
     g["out"] = a.T @ dh
     da = (dh @ p["out"].T).reshape(n, WINDOW, d)
     ds, dv = np.matmul(da, v.transpose(0, 2, 1)), np.matmul(s.transpose(0, 2, 1), da)
-    ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(d**-0.5)
-    dqkv = np.concatenate((np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv), axis=2).reshape(-1, 3 * d)
+    ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]
+    ds *= s
+    ds *= np.float32(d**-0.5)
+    dqkv = np.empty((n, WINDOW, 3 * d), y.dtype)
+    dqkv[:, :, :d], dqkv[:, :, d : 2 * d], dqkv[:, :, 2 * d :] = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv
+    dqkv = dqkv.reshape(-1, 3 * d)
     g["qkv"] = x.reshape(-1, d).T @ dqkv
     dx = (dh + dqkv @ p["qkv"].T).reshape(n, WINDOW, d)
     g["place"] = dx.sum(0)
     flat = inputs.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.int16), kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
     g["embed"][flat[order][cuts]] = np.add.reduceat(dx.reshape(-1, d)[order], cuts, axis=0)
     return loss / max(1, total), g
@@ -304,19 +317,33 @@ def fresh_state(seed: int = SEED) -> tuple[dict[str, np.ndarray], ...]:
     return p, {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
 
 
+def turns(n: int, times: int, seed: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """``times`` batches of numbers under ``n``: shuffled again and again, so that none comes again before all have come."""
+    rng, left = np.random.default_rng(seed), np.empty(0, np.int64)
+    for _ in range(times):
+        while len(left) < min(BATCH, n):
+            left = np.concatenate((left, rng.permutation(n)))
+        yield left[:BATCH]
+        left = left[BATCH:]
+
+
 def trained_on(rows: np.ndarray, slot_of: np.ndarray, state: tuple[dict[str, np.ndarray], ...], since: int, to: int, steps: int, seed: int = SEED) -> tuple[dict[str, np.ndarray], ...]:
-    """The state after steps ``since`` to ``to`` of ``steps`` of Adam with a falling rate, over windows drawn with a fixed seed."""
+    """The state after steps ``since`` to ``to`` of ``steps`` of Adam with a falling rate, over all windows in shuffled order.
+
+    Where these steps don't meet every window, they are divided until they do.
+    """
     p, m, v = state
-    rng = np.random.default_rng((seed, since))
-    for t in range(since + 1, to + 1):
-        batch = rows[rng.integers(0, len(rows), BATCH)].astype(np.int64)
+    times = max(to - since, -(-len(rows) // BATCH))
+    for k, at in enumerate(turns(len(rows), times, (seed, since)), 1):
+        t = since + (to - since) * k / times
+        batch = rows[at].astype(np.int64)
         targets, valid = batch[:, 1:], batch[:, 1:] >= 0
         _, g = gradients(p, np.where(batch[:, :-1] >= 0, batch[:, :-1], END), slot_of[targets], valid)
-        rate = RATE * min(1, t / 100) * 0.5 * (1 + np.cos(np.pi * t / steps))
-        for k, w in p.items():
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.002 * (g[k] * g[k] - v[k])
-            w -= (rate / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k] / (1 - 0.998**t)) + 1e-8)
+        rate, n = RATE * min(1, t / 100) * 0.5 * (1 + np.cos(np.pi * t / steps)), since + k
+        for name, w in p.items():
+            m[name] += 0.1 * (g[name] - m[name])
+            v[name] += 0.002 * (g[name] * g[name] - v[name])
+            w -= (rate / (1 - 0.9**n)) * m[name] / (np.sqrt(v[name] / (1 - 0.998**n)) + 1e-8)
     return p, m, v
 
 

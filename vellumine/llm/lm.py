@@ -10,9 +10,10 @@ their training counts, and the texts as word numbers; words are put together fro
 to be counted, and the counts of those that several blocks have go back to their blocks, which are then scored one by
 one. A word has a row for each block at most; where it can have more than ``BLOCKS_A_WORD``, its rows are dealt out by
 block too and counted in two steps. The model's classes and their neighbours are counted over all training texts. Its weights are
-fitted on windows drawn alike from all training texts, long or short, by a hash of row and place: one of every
-``WINDOW_SHARE``, but ``PART_WINDOWS`` where the texts have so many. Parts of ``PART_WINDOWS`` windows learn side by side
-from common weights, which are averaged ``ROUNDS`` times.
+fitted on all windows of all training texts, each of which is met at least once. Where there are more than
+``PART_WINDOWS``, a hash of row and place deals them to parts of about so many and, in each, to ``ROUNDS - 1`` rounds: the
+parts learn side by side from common weights, which are averaged after each round. A round before them, of the windows of
+one part, gives them a common start.
 
 Cases: null and empty texts are the end alone. Rows with a null doc_id are scored and count as training rows. Repeated
 rows stay rows and count each. Other columns are ignored, whatever their names. With no training rows the counts are
@@ -22,7 +23,7 @@ zero and the model alone scores. An empty table gives an empty result.
 import os
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,14 +32,14 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import new_path, written
+from ..scratch import drop, new_path, written
 from .attention import CLASSES, END, RARE, STEPS, WINDOW, Classes, Subwords, fresh_state, joined, neighbours, sequence_logs, spellings, trained, trained_on, training_windows, windows
 from .words import ascii_words, filled, gathered, give_back
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FOLDS, HELD_OUT = 5, 1
-WINDOW_SHARE, PART_WINDOWS, ROUNDS, SEED = 32, 192_000, 4, 3
+WINDOW_SHARE, PART_WINDOWS, ROUNDS, SEED = 1, 192_000, 4, 3  # one window of how many is learnt from: all
 BLOCK_BYTES, BLOCKS_A_WORD = 8 << 20, 1 << 14
 SPELL_WORDS = 20_000  # so many distinct words are spelled at a time
 SLICE_WORDS = 60_000  # so many words of a block are scored at a time, or one text
@@ -200,9 +201,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 LEARNT = "kind int, key long, data binary"
 
 
-def _learnt(blocks: DataFrame, classes: Classes, wanted: float) -> DataFrame:
+def _learnt(blocks: DataFrame, classes: Classes, wanted: float, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
     """Rows of kind 0: a task's counts of what follows a class (key); of kind 1: the windows drawn (key: their hash).
 
+    They are made anew from the blocks whenever they are read, as all windows together would outweigh the texts.
+
     A window is drawn if its hash, of the row's seed and its number in the text, is under the share ``wanted``: texts of
     any length, and all places in them, have the same chance, however the rows are dealt out.
     """
@@ -225,7 +228,10 @@ def _learnt(blocks: DataFrame, classes: Classes, wanted: float) -> DataFrame:
                 for at, to, event, firsts in _events(numbers, lengths, len(sizes) - 1):
                     n = sizes[event]
                     flat = classes[np.repeat(begin[event] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    follows += neighbours(flat)
+                    if 0 in kinds:
+                        follows += neighbours(flat)
+                    if 1 not in kinds:
+                        continue
                     own = np.add.reduceat(n, firsts)
                     ends = np.cumsum(own)
                     starts, text = windows(own)
@@ -242,45 +248,76 @@ def _learnt(blocks: DataFrame, classes: Classes, wanted: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), pa.array(some), pa.array([packed64(follows[c]) for c in some], pa.binary())], schema=schema)
 
     rows = blocks.filter("kind = 1").select("spelled", "sizes", "numbers", "lengths", "held", "seeds")
-    return written(rows.mapInArrow(run, LEARNT), "learnt")
+    return rows.mapInArrow(run, LEARNT).filter(F.col("kind").isin(*kinds))
 
 
 def _weights(drawn: DataFrame, n: int, slot: np.ndarray, steps: int) -> dict[str, np.ndarray]:
-    """Weights after ``steps`` steps of each part of the windows ``drawn`` (key, data), which are about ``n``.
+    """Weights after ``steps`` steps, or as many as meet all windows ``drawn`` (key, data), which are about ``n``.
 
     One part learns at first, then all from its state; their states are averaged at the end of each round.
     """
-    spark, parts = drawn.sparkSession, max(1, -(-n // PART_WINDOWS))
-    rows = drawn.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "data")
-    edges = [steps * r // ROUNDS for r in range(ROUNDS + 1)] if parts > 1 else [0, steps]
-    state = fresh_state()
-
-    def learn(state: tuple[dict[str, np.ndarray], ...], since: int, to: int, rows: DataFrame) -> tuple[dict[str, np.ndarray], ...]:
-        sent = spark.sparkContext.broadcast((state, slot))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[tuple[int, bytes]]] = {}
-            for b in batches:
-                for part, key, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    held.setdefault(part, []).append((key, data))
-            for part in sorted(held):
-                windows = np.frombuffer(b"".join(d for _, d in sorted(held.pop(part))), "<i2").reshape(-1, WINDOW + 1)
-                state, slot = sent.value
-                state = tuple({k: w.copy() for k, w in x.items()} for x in state)
-                yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(trained_on(windows, slot, state, since, to, steps))], pa.binary())], ["state"])
-
-        made, got, k = written(rows.mapInArrow(run, "state binary"), "weights"), None, 0
-        for row in made.toLocalIterator():
-            one, k = pickle.loads(row.state), k + 1
-            got = one if got is None else tuple({n: a[n] + (b[n] - a[n]) / k for n in a} for a, b in zip(got, one, strict=True))
-        return state if got is None else got
-
-    for since, to in zip(edges, edges[1:], strict=False):
-        first = parts == 1 or since == 0
-        state = learn(state, since, to, rows.filter("part = 0").coalesce(1) if first else rows.repartitionByRange(parts, "part"))
+    parts = max(1, -(-n // PART_WINDOWS))
+    if parts == 1:
+        return _round(drawn.withColumn("part", F.lit(0)), 1, slot, fresh_state(), 0, steps, steps)[0]
+    edges = [steps * r // ROUNDS for r in range(ROUNDS + 1)]
+    place = F.pmod("key", F.lit(parts * (ROUNDS - 1)))
+    start = drawn.filter(F.pmod("key", F.lit(parts * ROUNDS)) == 0).withColumn("part", F.lit(0))
+    state = _round(start, 1, slot, fresh_state(), 0, edges[1], steps)
+    for r in range(1, ROUNDS):
+        own = drawn.filter(F.floor(place / parts) == r - 1).withColumn("part", F.pmod(place, F.lit(parts)).cast("int"))
+        state = _round(own, parts, slot, state, edges[r], edges[r + 1], steps)
     return state[0]
 
 
+State = tuple[dict[str, np.ndarray], ...]
+
+
+def _round(rows: DataFrame, parts: int, slot: np.ndarray, state: State, since: int, to: int, steps: int) -> State:
+    """The mean state, by windows, of the parts of ``rows`` (part, key, data), each of which learns from all its windows."""
+    sent = rows.sparkSession.sparkContext.broadcast((state, slot))
+    schema = "n long, state binary"
+
+    def row(n: int, state: State) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([cloudpickle.dumps(state)], pa.binary())], ["n", "state"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, data = [np.empty(0, np.int64)], []
+        for b in batches:
+            if b.num_rows:
+                keys.append(b.column(0).to_numpy())
+                data.append(b"".join(b.column(1).to_pylist()))
+        if data:
+            windows, key = np.frombuffer(b"".join(data), "<i2").reshape(-1, WINDOW + 1), np.concatenate(keys)
+            data.clear()
+            order = np.lexsort((windows[:, 1], windows[:, 2], key))  # the same order however the rows came
+            state, slot = sent.value
+            yield row(len(key), trained_on(windows[order], slot, tuple({k: w.copy() for k, w in x.items()} for x in state), since, to, steps))
+            give_back()
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, state = _mean((n.as_py(), pickle.loads(x.as_py())) for b in batches for n, x in zip(*b.columns, strict=True))
+        if n:
+            yield row(n, state)
+
+    one_each = rows.repartitionById(parts, "part") if parts > 1 else rows.repartition(1)
+    made = written(one_each.select("key", "data").mapInArrow(learn, schema), "weights")
+    n, got = _mean((r.n, pickle.loads(r.state)) for r in made.coalesce(8).mapInArrow(mean, schema).collect())
+    drop(made)
+    return got if n else state
+
+
+def _mean(states: Iterable[tuple[int, State]]) -> tuple[int, State]:
+    """How many windows these states have met together, and their mean."""
+    total, sums = 0, ()
+    for n, state in states:
+        total += n
+        sums = sums or tuple({k: np.zeros(w.shape) for k, w in x.items()} for x in state)
+        for x, y in zip(sums, state, strict=True):
+            for k in x:
+                x[k] += n * y[k].astype(np.float64)
+    return total, tuple({k: (w / total).astype(np.float32) for k, w in x.items()} for x in sums)
+
+
 def packed64(numbers: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
@@ -309,12 +346,11 @@ def _fit(blocks: DataFrame, ranks: bytes, steps: int) -> Model:
     common = [r.idx for r in counts.filter("idx >= 0").orderBy(F.desc("n"), "idx").limit(CLASSES - 2).collect()]
     classes = Classes.counted(common, _subwords(ranks).size)
     wanted = min(n_windows, max(PART_WINDOWS, n_windows // WINDOW_SHARE))
-    learnt = _learnt(blocks, classes, wanted / n_windows)
     follows = np.zeros((CLASSES, CLASSES), np.int64)
-    for row in learnt.filter("kind = 0").select("key", "data").groupBy("key").applyInArrow(_summed, "key long, data binary").collect():
+    for row in _learnt(blocks, classes, 1.0, (0,)).select("key", "data").groupBy("key").applyInArrow(_summed, "key long, data binary").collect():
         follows[row.key] = unpacked64(row.data)
     classes.arrange(follows)
-    weights = _weights(learnt.filter("kind = 1").select("key", "data"), wanted, classes.slot, steps)
+    weights = _weights(_learnt(blocks, classes, wanted / n_windows, (1,)).select("key", "data"), wanted, classes.slot, steps)
     return Model.fitted(ranks, classes, weights)
 
 
