@@ -560,6 +560,38 @@ def test_attention_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[k][at], rel=1e-4)
 
 
+def test_states_of_some_places_are_those_of_all():
+    rng = np.random.default_rng(2)
+    p, inputs = attention.initial(rng), rng.integers(0, attention.CLASSES, (5, attention.WINDOW))
+    rows = np.array([159, 0, 31, 32, 77])
+    assert np.allclose(attention.attend(p, inputs, rows)[0], attention.attend(p, inputs)[0][rows], atol=1e-5)
+
+
+def test_training_is_plain_adam_over_all_windows():
+    """Windows go through Spark as bytes and come back the same; steps over one flat vector equal those weight by weight."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, attention.CLASSES, (150, attention.WINDOW + 1)).astype("<i2")
+    rows[::7, 20:] = -1  # texts that end within their window
+    sent = lm._of_one_size(rows)
+    assert sent.to_pylist() == [r.tobytes() for r in rows]
+    assert (lm._joined(sent.slice(10, 50)).view("<i2").reshape(-1, attention.WINDOW + 1) == rows[10:60]).all()
+    slot, start = rng.permutation(attention.CLASSES), attention.fresh_state()
+    kept = {k: w.copy() for k, w in start[0].items()}
+    p, m, v = ({k: w.copy() for k, w in x.items()} for x in start)
+    for n, at in enumerate(attention.turns(len(rows), 6, (attention.SEED, 0)), 1):
+        batch = rows[at].astype(np.int64)
+        _, g = attention.gradients(p, np.where(batch[:, :-1] >= 0, batch[:, :-1], attention.END), slot[batch[:, 1:]], batch[:, 1:] >= 0)
+        for k in p:
+            m[k] += 0.1 * (g[k] - m[k])
+            v[k] += 0.002 * (g[k] * g[k] - v[k])
+            rate = attention.RATE * n / 100 * 0.5 * (1 + np.cos(np.pi * n / 6))
+            p[k] -= rate / (1 - 0.9**n) * m[k] / (np.sqrt(v[k] / (1 - 0.998**n)) + 1e-8)
+    got = attention.trained_on(rows, slot, start, 0, 6, 6)
+    for x, y in zip(got, (p, m, v), strict=True):
+        assert all(np.allclose(x[k], y[k], atol=1e-5) for k in y)
+    assert all((start[0][k] == w).all() for k, w in kept.items())
+
+
 def test_hidden_layer_is_twice_the_width():
     from vellumine.llm import attention as A
 

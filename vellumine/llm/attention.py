@@ -9,6 +9,7 @@ scored window by window; without any text the weights stay as they were drawn, a
 """
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
 END, RARE, START = CLASSES - 2, CLASSES - 1, CLASSES  # START is an input only
 STEPS, BATCH, RATE, SEED = 2000, 96, 4e-3, 5
-CHUNK = 256  # windows scored at a time
+CHUNK = 128  # windows scored at a time: their arrays fit a core's second cache
 
 
 def pieces_of(ranks: bytes) -> dict[bytes, int]:
@@ -131,8 +132,8 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def attend(p: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States (windows, WINDOW, WIDTH) after masked attention and the hidden layer."""
+def attend(p: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """States of all places, window by window, or of ``rows`` of these, after masked attention and the hidden layer."""
     n, d = len(inputs), WIDTH
     x = p["embed"][inputs] + p["place"]
     qkv = (x.reshape(-1, d) @ p["qkv"]).reshape(n, WINDOW, 3 * d)
@@ -143,10 +144,15 @@ def attend(p: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, tu
     np.exp(s, out=s)
     s *= CAUSAL
     s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
-    a = np.matmul(s, v).reshape(-1, d)
-    h = x.reshape(-1, d) + a @ p["out"]
-    r = np.maximum(h @ p["in"] + p["in_b"], 0)
-    y = h + r @ p["up"]
+    a, h = np.matmul(s, v).reshape(-1, d), x.reshape(-1, d)
+    if rows is not None:
+        a, h = a.take(rows, axis=0), h.take(rows, axis=0)
+    h = h + a @ p["out"]
+    r = h @ p["in"]
+    r += p["in_b"]
+    np.maximum(r, 0, out=r)
+    y = r @ p["up"]
+    y += h
     return y, (x, q, k, v, s, a, h, r)
 
 
@@ -245,14 +251,13 @@ def sequence_logs(p: dict[str, np.ndarray], slot_of: np.ndarray, classes: np.nda
 
 
 def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, slots: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over valid targets and its gradients, by hand."""
-    y, (x, q, k, v, s, a, h, r) = attend(p, inputs)
-    d, n = WIDTH, len(inputs)
-    g, total = {k_: np.zeros_like(w) for k_, w in p.items()}, int(valid.sum())
+    """Mean loss over valid targets and its gradients, by hand. Places without a valid target are context only."""
+    d, n, total = WIDTH, len(inputs), int(valid.sum())
     target = slots[valid]
     order = np.argsort((target // MEMBERS).astype(np.int8), kind="stable")
     rows, target = np.flatnonzero(valid.ravel())[order], target[order]
-    ys, group = y.take(rows, axis=0), target // MEMBERS
+    y, (x, q, k, v, s, a, h, r) = attend(p, inputs, rows)
+    g, group, ones = {}, target // MEMBERS, np.ones(total, y.dtype)
     ends, lane = np.searchsorted(group, np.arange(GROUPS + 1)).tolist(), np.arange(total)
     own = [(c, slice(ends[c], ends[c + 1])) for c in range(GROUPS) if ends[c] < ends[c + 1]]
 
@@ -260,46 +265,54 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, slots: np.ndarray, v
         """Loss; the logits become its gradients."""
         np.clip(logits, -80, 80, out=logits)
         np.exp(logits, out=logits)
-        logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
-        loss = -np.log(logits[lane, at] + 1e-30).sum()
-        logits[lane, at] -= 1
-        logits *= 1 / max(1, total)
+        sums = logits @ np.ones(logits.shape[1], logits.dtype)
+        loss = -np.log(logits[lane, at] / sums + 1e-30).sum()
+        logits *= (1 / (max(1, total) * sums))[:, None]
+        logits[lane, at] -= 1 / max(1, total)
         return float(loss)
 
-    dl, dm = ys @ p["group"], np.empty((total, MEMBERS), ys.dtype)
+    dl, dm = y @ p["group"], np.empty((total, MEMBERS), y.dtype)
     dl += p["group_b"]
     for c, at in own:
-        np.matmul(ys[at], p["member"][c], out=dm[at])
-        dm[at] += p["member_b"][c]
+        np.matmul(y[at], p["member"][c], out=dm[at])
+    dm += p["member_b"].take(group, axis=0)
     loss = soft(dl, group) + soft(dm, target % MEMBERS)
-    g["group"], g["group_b"] = ys.T @ dl, dl.sum(0)
-    dys = dl @ p["group"].T
+    g["group"], g["group_b"] = y.T @ dl, ones @ dl
+    dy = dl @ p["group"].T
+    g["member"], g["member_b"] = np.zeros_like(p["member"]), np.zeros_like(p["member_b"])
     for c, at in own:
-        g["member"][c], g["member_b"][c] = ys[at].T @ dm[at], dm[at].sum(0)
-        dys[at] += dm[at] @ p["member"][c].T
-    dy = np.zeros_like(y)
-    dy[rows] = dys
+        np.matmul(y[at].T, dm[at], out=g["member"][c])
+        np.matmul(ones[at], dm[at], out=g["member_b"][c])
+        dy[at] += dm[at] @ p["member"][c].T
     g["up"] = r.T @ dy
     dr = dy @ p["up"].T
     dr *= r > 0
-    g["in"], g["in_b"] = h.T @ dr, dr.sum(0)
-    dh = dy + dr @ p["in"].T
-    g["out"] = a.T @ dh
-    da = (dh @ p["out"].T).reshape(n, WINDOW, d)
-    ds, dv = np.matmul(da, v.transpose(0, 2, 1)), np.matmul(s.transpose(0, 2, 1), da)
-    ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]
+    g["in"], g["in_b"] = h.T @ dr, ones @ dr
+    dy += dr @ p["in"].T
+    g["out"] = a.T @ dy
+    by_row = dy @ p["out"].T
+    da, along = np.zeros((n * WINDOW, d), y.dtype), np.zeros(n * WINDOW, y.dtype)
+    da[rows] = by_row
+    by_row *= a
+    along[rows] = by_row @ np.ones(d, y.dtype)  # what the softmax takes off all scores of a place
+    da = da.reshape(n, WINDOW, d)
+    ds, dqkv = np.matmul(da, v.transpose(0, 2, 1)), np.empty((n, WINDOW, 3 * d), y.dtype)
+    ds -= along.reshape(n, WINDOW, 1)
     ds *= s
-    ds *= np.float32(d**-0.5)
-    dqkv = np.empty((n, WINDOW, 3 * d), y.dtype)
-    dqkv[:, :, :d], dqkv[:, :, d : 2 * d], dqkv[:, :, 2 * d :] = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv
+    ds *= y.dtype.type(d**-0.5)
+    for at, (left, right) in enumerate(((ds, k), (ds.transpose(0, 2, 1), q), (s.transpose(0, 2, 1), da))):
+        np.matmul(left, right, out=dqkv[:, :, at * d : (at + 1) * d])
     dqkv = dqkv.reshape(-1, 3 * d)
     g["qkv"] = x.reshape(-1, d).T @ dqkv
-    dx = (dh + dqkv @ p["qkv"].T).reshape(n, WINDOW, d)
-    g["place"] = dx.sum(0)
+    dx = dqkv @ p["qkv"].T
+    dx[rows] += dy
+    g["place"] = dx.reshape(n, WINDOW, d).sum(0)
     flat = inputs.ravel()
     order = np.argsort(flat.astype(np.int16), kind="stable")
-    cuts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-    g["embed"][flat[order][cuts]] = np.add.reduceat(dx.reshape(-1, d)[order], cuts, axis=0)
+    sorted_ = flat[order]
+    cuts = np.flatnonzero(np.concatenate(([True], sorted_[1:] > sorted_[:-1])))
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][sorted_[cuts]] = np.add.reduceat(dx.take(order, axis=0), cuts, axis=0)
     return loss / max(1, total), g
 
 
@@ -332,7 +345,10 @@ def trained_on(rows: np.ndarray, slot_of: np.ndarray, state: tuple[dict[str, np.
 
     Where these steps don't meet every window, they are divided until they do.
     """
-    p, m, v = state
+    (w, m, v), shapes = [np.concatenate([x[k].ravel() for k in state[0]]) for x in state], {k: x.shape for k, x in state[0].items()}
+    cuts = np.cumsum([math.prod(x) for x in shapes.values()])[:-1]
+    named = lambda flat: {k: x.reshape(shapes[k]) for k, x in zip(shapes, np.split(flat, cuts), strict=True)}
+    p, change, root = named(w), np.empty_like(w), np.empty_like(w)
     times = max(to - since, -(-len(rows) // BATCH))
     for k, at in enumerate(turns(len(rows), times, (seed, since)), 1):
         t = since + (to - since) * k / times
@@ -340,11 +356,14 @@ def trained_on(rows: np.ndarray, slot_of: np.ndarray, state: tuple[dict[str, np.
         targets, valid = batch[:, 1:], batch[:, 1:] >= 0
         _, g = gradients(p, np.where(batch[:, :-1] >= 0, batch[:, :-1], END), slot_of[targets], valid)
         rate, n = RATE * min(1, t / 100) * 0.5 * (1 + np.cos(np.pi * t / steps)), since + k
-        for name, w in p.items():
-            m[name] += 0.1 * (g[name] - m[name])
-            v[name] += 0.002 * (g[name] * g[name] - v[name])
-            w -= (rate / (1 - 0.9**n)) * m[name] / (np.sqrt(v[name] / (1 - 0.998**n)) + 1e-8)
-    return p, m, v
+        grown = np.concatenate([g[name].ravel() for name in shapes])
+        m += np.multiply(np.subtract(grown, m, out=change), 0.1, out=change)
+        grown *= grown
+        v += np.multiply(np.subtract(grown, v, out=change), 0.002, out=change)
+        np.sqrt(np.multiply(v, 1 / (1 - 0.998**n), out=root), out=root)
+        root += 1e-8
+        w -= np.multiply(np.divide(m, root, out=change), rate / (1 - 0.9**n), out=change)
+    return p, named(m), named(v)
 
 
 def trained(classes: list[np.ndarray], slot_of: np.ndarray, steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:

@@ -198,6 +198,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _of_one_size(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row, without an object for each."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.itemsize * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _joined(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls, one after the other; the opposite of ``_of_one_size``."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy()
+
+
 LEARNT = "kind int, key long, data binary"
 
 
@@ -242,7 +255,7 @@ def _learnt(blocks: DataFrame, classes: Classes, wanted: float, kinds: tuple[int
                     if len(drawn):
                         rows = training_windows(flat, starts[drawn], ends[text[drawn]], first[drawn])
                         m = len(drawn)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(_mixed(h[drawn]).view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(_mixed(h[drawn]).view(np.int64)), _of_one_size(rows)], schema=schema)
         some = np.flatnonzero(follows.any(1))
         give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), pa.array(some), pa.array([packed64(follows[c]) for c in some], pa.binary())], schema=schema)
@@ -285,13 +298,13 @@ def _round(rows: DataFrame, parts: int, slot: np.ndarray, state: State, since: i
         for b in batches:
             if b.num_rows:
                 keys.append(b.column(0).to_numpy())
-                data.append(b"".join(b.column(1).to_pylist()))
+                data.append(_joined(b.column(1)))
         if data:
-            windows, key = np.frombuffer(b"".join(data), "<i2").reshape(-1, WINDOW + 1), np.concatenate(keys)
+            windows, key = np.concatenate(data).view("<i2").reshape(-1, WINDOW + 1), np.concatenate(keys)
             data.clear()
             order = np.lexsort((windows[:, 1], windows[:, 2], key))  # the same order however the rows came
             state, slot = sent.value
-            yield row(len(key), trained_on(windows[order], slot, tuple({k: w.copy() for k, w in x.items()} for x in state), since, to, steps))
+            yield row(len(key), trained_on(windows[order], slot, state, since, to, steps))
             give_back()
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
