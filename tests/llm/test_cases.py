@@ -560,6 +560,60 @@ def test_attention_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[k][at], rel=1e-4)
 
 
+@pytest.mark.parametrize("share", [0.97, 0.0])
+def test_gradients_where_nearly_all_places_have_targets_or_none(share):
+    """Places without a target are kept among the others or left out, with the same gradients."""
+    rng = np.random.default_rng(5)
+    p = {k: v.astype("f8") for k, v in attention.initial(rng).items()}
+    inputs, slots, valid = rng.integers(0, 9, (4, attention.WINDOW)), rng.integers(0, attention.CLASSES, (4, attention.WINDOW)), rng.random((4, attention.WINDOW)) < share
+    assert valid.mean() == share or 0.9 < valid.mean() < 1
+    loss, g = attention.gradients(p, inputs, slots, valid)
+    padded = [np.concatenate((x, np.zeros_like(x))) for x in (inputs, slots, valid)]  # so many without that they are left out
+    again, h = attention.gradients(p, *padded)
+    assert again == pytest.approx(loss)
+    for k, w in p.items():
+        assert np.allclose(g[k], h[k], atol=1e-12)
+        at = np.unravel_index(np.abs(g[k]).argmax(), w.shape)
+        old, ends = w[at], []
+        for step in (1e-5, -1e-5):
+            w[at] = old + step
+            ends.append(attention.gradients(p, inputs, slots, valid)[0])
+        w[at] = old
+        assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 300, 1024])
+def test_products_by_runs_are_plain_products(n):
+    rng = np.random.default_rng(n)
+    x, y, w = rng.standard_normal((n, 32)), rng.standard_normal((n, 96)), rng.standard_normal((96, 32))
+    assert np.allclose(attention.product(x, w.T), x @ w.T) and np.allclose(attention.product(y, w), y @ w)
+    assert np.allclose(attention.across(x, y), x.T @ y)
+
+
+def test_training_windows_place_by_place():
+    rng, lengths = np.random.default_rng(7), np.array([1, 31, 32, 33, 56, 57, 200, 1])
+    classes, ends = rng.integers(0, attention.CLASSES, lengths.sum()), np.cumsum(lengths)
+    starts, text = attention.windows(lengths)
+    got = attention.training_windows(classes, starts, ends[text], (ends - lengths)[text])
+    for row, at, t in zip(got.tolist(), starts, text, strict=True):
+        own = [int(classes[i]) if i < ends[t] else -1 for i in range(at, at + attention.WINDOW)]
+        assert row == [attention.START if at == ends[t] - lengths[t] else int(classes[at - 1]), *own]
+    assert attention.training_windows(classes[:0], starts[:0], starts[:0], starts[:0]).shape == (0, attention.WINDOW + 1)
+
+
+def test_one_softmax_for_all_groups(monkeypatch):
+    """A chunk's targets are scored in one pass, not in one for each of the groups."""
+    rng, calls, plain = np.random.default_rng(6), [], attention.log_softmax_at
+    monkeypatch.setattr(attention, "log_softmax_at", lambda logits, at: calls.append(len(at)) or plain(logits, at))
+    p, states, slots = attention.initial(rng), rng.standard_normal((500, attention.WIDTH)).astype("f4"), rng.integers(0, attention.CLASSES, 500)
+    got = attention.token_logs(p, states, slots)
+    assert calls == [1000]
+    for i in range(0, 500, 50):
+        c, m = divmod(slots[i], attention.MEMBERS)
+        group, member = states[i] @ p["group"] + p["group_b"], states[i] @ p["member"][c] + p["member_b"][c]
+        assert got[i] == pytest.approx(group[c] - np.log(np.exp(group).sum()) + member[m] - np.log(np.exp(member).sum()), abs=1e-4)
+
+
 def test_states_of_some_places_are_those_of_all():
     rng = np.random.default_rng(2)
     p, inputs = attention.initial(rng), rng.integers(0, attention.CLASSES, (5, attention.WINDOW))

@@ -22,6 +22,7 @@ CLASSES = GROUPS * MEMBERS
 END, RARE, START = CLASSES - 2, CLASSES - 1, CLASSES  # START is an input only
 STEPS, BATCH, RATE, SEED = 2000, 96, 4e-3, 5
 CHUNK = 128  # windows scored at a time: their arrays fit a core's second cache
+RUN = 128  # rows multiplied at a time: matrices so small are multiplied where they lie, larger ones are copied into panels first
 
 
 def pieces_of(ranks: bytes) -> dict[bytes, int]:
@@ -129,17 +130,45 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
     }
 
 
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` of many rows, run by run."""
+    n, w = len(x) // RUN * RUN, np.ascontiguousarray(w)
+    out = np.empty((len(x), w.shape[1]), x.dtype)
+    np.matmul(x[:n].reshape(-1, RUN, w.shape[0]), w, out=out[:n].reshape(-1, RUN, w.shape[1]))
+    np.matmul(x[n:], w, out=out[n:])
+    return out
+
+
+def across(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` over many rows, run by run."""
+    n, a, b = len(x) // RUN, x.shape[1], y.shape[1]
+    parts = np.matmul(x[: n * RUN].reshape(-1, RUN, a).transpose(0, 2, 1), y[: n * RUN].reshape(-1, RUN, b))
+    out = x[n * RUN :].T @ y[n * RUN :]
+    out += (np.ones(n, y.dtype) @ parts.reshape(n, a * b)).reshape(a, b)
+    return out
+
+
+def scaled(qkv: np.ndarray) -> np.ndarray:
+    """With the scale of the scores in the queries."""
+    return np.concatenate((qkv[:, :WIDTH] * qkv.dtype.type(WIDTH**-0.5), qkv[:, WIDTH:]), axis=1)
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix transposed, in memory too: products of many small matrices are faster so."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def attend(p: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
     """States of all places, window by window, or of ``rows`` of these, after masked attention and the hidden layer."""
     n, d = len(inputs), WIDTH
-    x = p["embed"][inputs] + p["place"]
-    qkv = (x.reshape(-1, d) @ p["qkv"]).reshape(n, WINDOW, 3 * d)
+    x = p["embed"].take(inputs, axis=0)
+    x += p["place"]
+    qkv = product(x.reshape(-1, d), scaled(p["qkv"])).reshape(n, WINDOW, 3 * d)
     q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(d**-0.5)
+    s = np.matmul(q, turned(k))
     np.clip(s, -80, 80, out=s)
     np.exp(s, out=s)
     s *= CAUSAL
@@ -147,11 +176,11 @@ def attend(p: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray | None
     a, h = np.matmul(s, v).reshape(-1, d), x.reshape(-1, d)
     if rows is not None:
         a, h = a.take(rows, axis=0), h.take(rows, axis=0)
-    h = h + a @ p["out"]
-    r = h @ p["in"]
+    h = h + product(a, p["out"])
+    r = product(h, p["in"])
     r += p["in_b"]
-    np.maximum(r, 0, out=r)
-    y = r @ p["up"]
+    np.clip(r, 0, np.inf, out=r)  # takes less than the maximum with 0
+    y = product(r, p["up"])
     y += h
     return y, (x, q, k, v, s, a, h, r)
 
@@ -159,23 +188,38 @@ def attend(p: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray | None
 def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Without the row maxima, which cost more than all the rest: exponents are kept in range by the clip."""
     np.clip(logits, -80, 80, out=logits)
-    picked = logits[np.arange(len(at)), at]
+    picked = logits.ravel().take(np.arange(len(at)) * logits.shape[1] + at)
     return picked - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
 
 
-def token_logs(p: dict[str, np.ndarray], states: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """log P of each target (place in the arrangement), states row by row."""
+def by_group(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """An order of the targets by group, their groups in it, and where each group that occurs stands."""
     group = (slots // MEMBERS).astype(np.int8)
     order = np.argsort(group, kind="stable")
-    states, slots, group = states.take(order, axis=0), slots[order], group[order]
-    logs = log_softmax_at(states @ p["group"] + p["group_b"], group)
-    ends = np.searchsorted(group, np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        a, b = ends[g], ends[g + 1]
-        if a < b:
-            logs[a:b] += log_softmax_at(states[a:b] @ p["member"][g] + p["member_b"][g], slots[a:b] % MEMBERS)
-    out = np.empty_like(logs)
-    out[order] = logs
+    group = group[order]
+    ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    return order, group.astype(np.int64), [(c, slice(ends[c], ends[c + 1])) for c in range(GROUPS) if ends[c] < ends[c + 1]]
+
+
+def both_logits(p: dict[str, np.ndarray], y: np.ndarray, group: np.ndarray, own: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits of the groups and, below them, of the members of each target's group, for one softmax over all."""
+    n = len(y)
+    out = np.empty((2 * n, MEMBERS), y.dtype)
+    np.add(product(y, p["group"]), p["group_b"], out=out[:n])
+    members = out[n:]
+    for c, at in own:
+        np.matmul(y[at], p["member"][c], out=members[at])
+    members += p["member_b"].take(group, axis=0)
+    return out
+
+
+def token_logs(p: dict[str, np.ndarray], states: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """log P of each target (place in the arrangement), states row by row."""
+    n = len(slots)
+    order, group, own = by_group(slots)
+    logs = log_softmax_at(both_logits(p, states.take(order, axis=0), group, own), np.concatenate((group, slots[order] % MEMBERS)))
+    out = np.empty(n, logs.dtype)
+    out[order] = logs[:n] + logs[n:]
     return out
 
 
@@ -197,7 +241,7 @@ def scored_states(p: dict[str, np.ndarray], t: dict[str, dict[str, np.ndarray]],
     k, v = (t["embed"][x].take(inputs.ravel(), axis=0).reshape(n, WINDOW, d) for x in "kv")
     k += t["place"]["k"]
     v += t["place"]["v"]
-    s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+    s = np.matmul(q, turned(k))
     np.clip(s, -80, 80, out=s)
     np.exp(s, out=s)
     s *= CAUSAL[since:]
@@ -209,11 +253,11 @@ def scored_states(p: dict[str, np.ndarray], t: dict[str, dict[str, np.ndarray]],
         own, place, a = own[rows], place[rows], a.take(rows, axis=0)
     h = p["embed"].take(own, axis=0)
     h += p["place"].take(place, axis=0)
-    h += a @ p["out"]
-    r = h @ p["in"]
+    h += product(a, p["out"])
+    r = product(h, p["in"])
     r += p["in_b"]
-    np.maximum(r, 0, out=r)
-    h += r @ p["up"]
+    np.clip(r, 0, np.inf, out=r)  # takes less than the maximum with 0
+    h += product(r, p["up"])
     return h
 
 
@@ -253,60 +297,56 @@ def sequence_logs(p: dict[str, np.ndarray], slot_of: np.ndarray, classes: np.nda
 def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, slots: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over valid targets and its gradients, by hand. Places without a valid target are context only."""
     d, n, total = WIDTH, len(inputs), int(valid.sum())
-    target = slots[valid]
-    order = np.argsort((target // MEMBERS).astype(np.int8), kind="stable")
-    rows, target = np.flatnonzero(valid.ravel())[order], target[order]
-    y, (x, q, k, v, s, a, h, r) = attend(p, inputs, rows)
-    g, group, ones = {}, target // MEMBERS, np.ones(total, y.dtype)
-    ends, lane = np.searchsorted(group, np.arange(GROUPS + 1)).tolist(), np.arange(total)
-    own = [(c, slice(ends[c], ends[c + 1])) for c in range(GROUPS) if ends[c] < ends[c + 1]]
-
-    def soft(logits: np.ndarray, at: np.ndarray) -> float:
-        """Loss; the logits become its gradients."""
-        np.clip(logits, -80, 80, out=logits)
-        np.exp(logits, out=logits)
-        sums = logits @ np.ones(logits.shape[1], logits.dtype)
-        loss = -np.log(logits[lane, at] / sums + 1e-30).sum()
-        logits *= (1 / (max(1, total) * sums))[:, None]
-        logits[lane, at] -= 1 / max(1, total)
-        return float(loss)
-
-    dl, dm = y @ p["group"], np.empty((total, MEMBERS), y.dtype)
-    dl += p["group_b"]
-    for c, at in own:
-        np.matmul(y[at], p["member"][c], out=dm[at])
-    dm += p["member_b"].take(group, axis=0)
-    loss = soft(dl, group) + soft(dm, target % MEMBERS)
-    g["group"], g["group_b"] = y.T @ dl, ones @ dl
-    dy = dl @ p["group"].T
+    places = np.flatnonzero(valid.ravel())
+    rows = None if total > 0.9 * valid.size else places  # nearly all: the few others cost less than to pick these out
+    states, (x, q, k, v, s, a, h, r) = attend(p, inputs, rows)
+    target = slots.ravel().take(places)
+    order, group, own = by_group(target)
+    target, at_state = target[order], order if rows is not None else places[order]
+    y = states.take(at_state, axis=0)
+    g, ones, one_each = {}, np.ones(len(h), y.dtype), np.ones(MEMBERS, y.dtype)
+
+    logits = both_logits(p, y, group, own)
+    np.clip(logits, -80, 80, out=logits)
+    np.exp(logits, out=logits)
+    sums, picks = logits @ one_each, np.arange(2 * total) * MEMBERS + np.concatenate((group, target % MEMBERS))
+    loss = -float(np.log(logits.ravel().take(picks) / sums + 1e-30).sum())
+    logits *= (1 / (max(1, total) * sums))[:, None]  # now the gradients of the logits
+    logits.ravel()[picks] -= 1 / max(1, total)
+    dl, dm = logits[:total], logits[total:]
+
+    g["group"], g["group_b"] = across(y, dl), ones[:total] @ dl
+    at_target, back = np.empty_like(y), turned(p["member"])
     g["member"], g["member_b"] = np.zeros_like(p["member"]), np.zeros_like(p["member_b"])
     for c, at in own:
         np.matmul(y[at].T, dm[at], out=g["member"][c])
         np.matmul(ones[at], dm[at], out=g["member_b"][c])
-        dy[at] += dm[at] @ p["member"][c].T
-    g["up"] = r.T @ dy
-    dr = dy @ p["up"].T
+        np.matmul(dm[at], back[c], out=at_target[at])
+    at_target += product(dl, p["group"].T)
+    dy = np.zeros_like(states)
+    dy[at_state] = at_target
+    g["up"] = across(r, dy)
+    dr = product(dy, p["up"].T)
     dr *= r > 0
-    g["in"], g["in_b"] = h.T @ dr, ones @ dr
-    dy += dr @ p["in"].T
-    g["out"] = a.T @ dy
-    by_row = dy @ p["out"].T
-    da, along = np.zeros((n * WINDOW, d), y.dtype), np.zeros(n * WINDOW, y.dtype)
-    da[rows] = by_row
-    by_row *= a
-    along[rows] = by_row @ np.ones(d, y.dtype)  # what the softmax takes off all scores of a place
+    g["in"], g["in_b"] = across(h, dr), ones[: len(h)] @ dr
+    dy += product(dr, p["in"].T)
+    g["out"] = across(a, dy)
+    da = product(dy, p["out"].T)
+    along = np.einsum("ij,ij->i", da, a)  # what the softmax takes off all scores of a place
+    if rows is not None:
+        da, along, dy = (spread(z, rows, n * WINDOW) for z in (da, along, dy))
     da = da.reshape(n, WINDOW, d)
-    ds, dqkv = np.matmul(da, v.transpose(0, 2, 1)), np.empty((n, WINDOW, 3 * d), y.dtype)
+    ds, dqkv = np.matmul(da, turned(v)), np.empty((n, WINDOW, 3 * d), y.dtype)
     ds -= along.reshape(n, WINDOW, 1)
     ds *= s
-    ds *= y.dtype.type(d**-0.5)
     for at, (left, right) in enumerate(((ds, k), (ds.transpose(0, 2, 1), q), (s.transpose(0, 2, 1), da))):
         np.matmul(left, right, out=dqkv[:, :, at * d : (at + 1) * d])
     dqkv = dqkv.reshape(-1, 3 * d)
-    g["qkv"] = x.reshape(-1, d).T @ dqkv
-    dx = dqkv @ p["qkv"].T
-    dx[rows] += dy
-    g["place"] = dx.reshape(n, WINDOW, d).sum(0)
+    g["qkv"] = across(x.reshape(-1, d), dqkv)
+    g["qkv"][:, :d] *= y.dtype.type(d**-0.5)
+    dx = product(dqkv, scaled(p["qkv"]).T)
+    dx += dy
+    g["place"] = (np.ones(n, y.dtype) @ dx.reshape(n, -1)).reshape(WINDOW, d)
     flat = inputs.ravel()
     order = np.argsort(flat.astype(np.int16), kind="stable")
     sorted_ = flat[order]
@@ -316,12 +356,21 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, slots: np.ndarray, v
     return loss / max(1, total), g
 
 
+def spread(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """``values`` at ``rows`` of ``n``, zero elsewhere."""
+    out = np.zeros((n, *values.shape[1:]), values.dtype)
+    out[rows] = values
+    return out
+
+
 def training_windows(classes: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Rows of WINDOW + 1 classes: what is before the window, and its targets; -1 beyond the text's end."""
-    place = starts[:, None] + np.arange(WINDOW)
-    targets = np.where(place < ends[:, None], classes[np.minimum(place, len(classes) - 1)], -1)
-    before = np.where(starts == firsts, START, classes[starts - 1])
-    return np.column_stack((before, targets)).astype("<i2")
+    around = np.concatenate(([START], classes, np.full(WINDOW, -1))).astype("<i2")
+    rows = np.lib.stride_tricks.sliding_window_view(around, WINDOW + 1)[starts]
+    rows[starts == firsts, 0] = START
+    short = np.flatnonzero(starts + WINDOW > ends)
+    rows[short, 1:] = np.where(starts[short, None] + np.arange(WINDOW) < ends[short, None], rows[short, 1:], -1)
+    return rows
 
 
 def fresh_state(seed: int = SEED) -> tuple[dict[str, np.ndarray], ...]:
